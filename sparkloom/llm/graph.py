@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round rewires every neighbour to the smallest known node and writes
     the edges to the shared folder; a hub's edges are only joined with its one
     minimum, which adaptive skew handling can split. Loops and nulls are
-    ignored; nodes without edges have no row.
+    ignored; a node that is its own component (a root, or without edges) has no row.
     """
     e = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
