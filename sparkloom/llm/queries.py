@@ -11,12 +11,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The path of an installed public tokenizer file; all workers have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_jaccard_join
 
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import document_path, license_scan
+
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan(docs.select("doc_id", document_path().alias("path"), "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import language_id
 
@@ -42,12 +56,25 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.where("copies > 0").select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import read_token_digests, write_token_shards
+
+    shards = write_token_shards(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return read_token_digests(shards)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_classifier
 
     return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import piece_digests
+
+    return piece_digests(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secret_digests, secret_spans
 
@@ -56,11 +83,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_top_k_search": op4_top_k_search,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_mix_sources": op6_mix_sources,
+    "op7_token_shards": op7_token_shards,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_sentence_pieces": op9_sentence_pieces,
     "op10_secret_scan": op10_secret_scan,
 }
 
