@@ -121,8 +121,10 @@ def domain_of(source: Column) -> Column:
 
 
 #: Production parameters for documents.
-WEIGHTS = {"domain": {"web": 3, "forum": 2}, "lang": {"en": 5, "de": 2, "fr": 2}}
+WEIGHTS: dict[str, dict[str, int]] = {"domain": {"web": 3, "forum": 2}, "lang": {"en": 5, "de": 2, "fr": 2}}
 
 
-def document_levels() -> dict[str, Column]:
-    return {"domain": domain_of(F.coalesce("source", F.lit(""))), "lang": F.col("lang"), "source": F.col("source")}
+def document_levels(prefix: str = "") -> dict[str, Column]:
+    """The tree's levels for documents; with a prefix, their columns stand beside those of documents."""
+    levels = {"domain": domain_of(F.coalesce("source", F.lit(""))), "lang": F.col("lang"), "source": F.col("source")}
+    return {f"{prefix}{name}": column for name, column in levels.items()}

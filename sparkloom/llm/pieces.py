@@ -236,23 +236,26 @@ def model(path: str) -> Model:
     return _MODELS[path]
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
-
-
 def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
-    """docs (text, ...) with ids array<int> added: the ids of the whole text, empty for a null or empty one."""
+    """docs (text, ...) with ids array<int> and exact added: the ids of the whole text, and whether they decode to it.
+
+    A null or empty text has no ids, which decode to the empty text. Columns of
+    docs with these names are replaced.
+    """
     shipped(docs.sparkSession)
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", "exact")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            for rows, _, _ in slices(batch, "text"):
+            for rows, offsets, data in slices(batch, "text"):
                 ids, sizes = m.encode([t or "" for t in rows.column("text").to_pylist()])
-                yield rows.append_column("ids", lists(ids, sizes))
+                raw, cuts = data.tobytes(), offsets.tolist()
+                exact = [t == raw[a:b] for t, a, b in zip(m.decode(ids, sizes), cuts[:-1], cuts[1:], strict=True)]
+                yield rows.append_column("ids", lists(ids, sizes)).append_column("exact", pa.array(exact, pa.bool_()))
 
-    return docs.mapInArrow(run, _with(docs, "ids", T.ArrayType(T.IntegerType())))
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
+    return docs.mapInArrow(run, schema)
 
 
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
@@ -271,7 +274,7 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
                 texts = [t.decode("utf-8", "replace") if k else None for t, k in zip(texts, known, strict=True)]
                 yield rows.append_column("decoded", pa.array(texts, pa.string()))
 
-    return encoded.mapInArrow(run, _with(encoded, "decoded", T.StringType()))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def piece_digests(docs: DataFrame, path: str) -> DataFrame:
