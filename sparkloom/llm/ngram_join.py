@@ -36,9 +36,10 @@ from .graph import connected_components
 
 GROUPS = 128
 HASH_BYTES = 6  # of a shingle's hash where two sets are compared
-HOT_SHINGLES = 1 << 16
+HOT_SHINGLES = 1 << 17
 BLOOM_BITS = 1 << 25
 LEAF = 32
+LARGE = 512
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -61,7 +62,7 @@ def _scan(n: int):
 
         def repeated():
             h, counts = np.unique(np.concatenate(held), return_counts=True)
-            h, counts = h[counts > 2], counts[counts > 2]
+            h, counts = h[counts > 1], counts[counts > 1]
             return out(_signed(h), counts, pa.nulls(len(h), pa.int64()))
 
         held, size = [], 0
@@ -81,7 +82,7 @@ def _scan(n: int):
 
 
 def _prefixes(n: int, num: int, den: int, hot):
-    """(node, size, keys): the shingles of each set's prefix, one row for each set of a task."""
+    """(node, size, keys): the shingles of each set's prefix in order, one row for each set of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = hot.value  # in ascending frequency
@@ -120,32 +121,82 @@ def _prefixes(n: int, num: int, den: int, hot):
     return run
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, node, n) sorted by key and node: those of keys with two nodes or more, with the first node as pivot."""
-    head: tuple[int, int, int] | None = None  # the current key's first row
-    told, last = False, 0
-    for batch in batches:
-        key, node, n = (np.asarray(batch.column(i)) for i in range(3))
-        if not len(key):
-            continue
-        if head is not None:
-            key, node, n = (np.concatenate(([x], y)) for x, y in zip(head, (key, node, n), strict=True))
+def _pages(num: int, den: int):
+    """From rows (key, node, n, rest) sorted by key and node: those that another row of their page may link with.
+
+    rest counts a set's shingles from the key on, in the common order. Where
+    the key is the first one that two sets share, their overlap is at most the
+    smaller rest; every linked pair has such a key, so rows without a partner
+    that this bound allows can go. pivot is the smallest such partner, if it is
+    smaller than the row's own node. A page of over LARGE rows isn't tested:
+    all its rows stay, with its first node as pivot.
+    """
+
+    def told(key, node, n, rest, pivot):
+        names = ["key", "node", "n", "rest", "pivot"]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, n, rest, pivot)], names)
+
+    def tested(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, node, n, rest = rows
         keep = np.ones(len(key), bool)
         keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        if head is not None:
-            keep[1:] &= (key[1:] != head[0]) | (node[1:] > last)
-        key, node, n = key[keep], node[keep], n[keep]
+        key, node, n, rest = (x[keep] for x in rows)
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         lens = np.diff(np.append(starts, len(key)))
-        many = np.repeat(lens > 1, lens)
-        pivot = np.repeat(node[starts], lens)
-        if head is not None and told:
-            many[0] = False
-        tail = int(starts[-1])
-        told = bool(lens[-1] > 1) or (told and len(starts) == 1 and head is not None)
-        head, last = (int(key[tail]), int(node[tail]), int(n[tail])), int(node[-1])
-        if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, node, n, pivot)], ["key", "node", "n", "pivot"])
+        keep, pivot = np.zeros(len(key), bool), node.copy()
+        two = starts[lens == 2]
+        fits = (num + den) * np.minimum(rest[two], rest[two + 1]) >= num * (n[two] + n[two + 1])
+        two = two[fits]
+        keep[two] = keep[two + 1] = True
+        pivot[two + 1] = node[two]
+        for a, m in zip(starts[lens > 2].tolist(), lens[lens > 2].tolist(), strict=True):
+            page = slice(a, a + m)
+            if m > LARGE:
+                keep[page], pivot[page] = True, node[a]
+                continue
+            r, s = rest[page], n[page]
+            fits = (num + den) * np.minimum(r[:, None], r) >= num * (s[:, None] + s)
+            np.fill_diagonal(fits, False)
+            keep[page] = fits.any(axis=1)
+            pivot[page] = np.minimum(node[page], node[page][fits.argmax(axis=1)])
+        if keep.any():
+            yield told(key[keep], node[keep], n[keep], rest[keep], pivot[keep])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        hot: tuple[int, int, int] | None = None  # a page that was too large to hold: key, pivot, last node told
+        for batch in batches:
+            rows = [np.asarray(batch.column(i)) for i in range(4)]
+            if not len(rows[0]):
+                continue
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if hot is not None:
+                mine = int(np.searchsorted(rows[0], hot[0], "right"))
+                key, node, n, rest = (x[:mine] for x in rows)
+                new = np.ones(mine, bool)
+                new[1:] = node[1:] != node[:-1]
+                new &= node > hot[2]
+                if new.any():
+                    yield told(key[new], node[new], n[new], rest[new], np.full(int(new.sum()), hot[1]))
+                    hot = (hot[0], hot[1], int(node[-1]))
+                rows = [x[mine:] for x in rows]
+                if not len(rows[0]):
+                    held = None
+                    continue
+                hot = None
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if last:
+                yield from tested([x[:last] for x in rows])
+            held = [x[last:] for x in rows]
+            if len(held[0]) > 100 * LARGE:
+                hot = (int(held[0][0]), int(held[1][0]), int(held[1][-1]))
+                yield from tested(held)
+                held = None
+        if held is not None:
+            yield from tested(held)
+
+    return run
 
 
 def count_vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -209,8 +260,8 @@ def _verified(num: int, den: int):
 class RTree:
     """A packed R-tree over the points of one page, in order of size: leaves of LEAF points under boxes."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
-        self.points, self.sizes, self.labels = points, sizes, labels
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rests: np.ndarray):
+        self.points, self.sizes, self.labels, self.rests = points, sizes, labels, rests
         self.at = np.arange(0, len(points), LEAF)
         self.upper = np.maximum.reduceat(points, self.at, axis=0)
         self.low, self.high = np.minimum.reduceat(sizes, self.at), np.maximum.reduceat(sizes, self.at)
@@ -218,8 +269,8 @@ class RTree:
         self.only = np.where(one == other, one, -1)  # the label of a box with one
         self.pure = one == other
 
-    def partners(self, point: np.ndarray, size: int, label: int, num: int, den: int, end: int) -> np.ndarray:
-        """Indices below end with another label whose bound allows (num + den) * overlap >= num * (size + their size)."""
+    def partners(self, point: np.ndarray, size: int, label: int, rest: int, num: int, den: int, end: int) -> np.ndarray:
+        """Indices below end with another label whose bounds allow (num + den) * overlap >= num * (size + their size)."""
         boxes = -(-end // LEAF)
         up = np.minimum(self.upper[:boxes], point).sum(axis=1, dtype=np.int64)
         fits = ((num + den) * up >= num * (size + self.low[:boxes])) & (den * self.high[:boxes] >= num * size)
@@ -228,20 +279,20 @@ class RTree:
         if not hits:
             return np.zeros(0, np.int64)
         at = np.concatenate(hits)
-        at = at[self.labels[at] != label]
+        at = at[(self.labels[at] != label) & ((num + den) * np.minimum(self.rests[at], rest) >= num * (size + self.sizes[at]))]
         bound = np.minimum(self.points[at], point).sum(axis=1, dtype=np.int64)
         return at[((num + den) * bound >= num * (size + self.sizes[at])) & (den * self.sizes[at] >= num * size)]
 
 
 def _candidates(num: int, den: int):
-    """From rows (key, node, n, label, point) sorted by key and size: pairs of different labels that their bounds allow."""
+    """From rows (key, node, n, rest, label, point) sorted by key and size: pairs of different labels that their bounds allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(page):
-            node, size, label, point = (np.concatenate(x) for x in zip(*page, strict=True))
-            tree = RTree(point, size, label)
+            node, size, rest, label, point = (np.concatenate(x) for x in zip(*page, strict=True))
+            tree = RTree(point, size, label, rest)
             for i in range(1, len(node)):
-                for j in tree.partners(point[i], int(size[i]), int(label[i]), num, den, i):
+                for j in tree.partners(point[i], int(size[i]), int(label[i]), int(rest[i]), num, den, i):
                     pair = (int(min(node[i], node[j])), int(max(node[i], node[j])))
                     if pair not in told:
                         told.add(pair)
@@ -260,15 +311,15 @@ def _candidates(num: int, den: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node, n, label = (np.asarray(batch.column(i)) for i in range(4))
-            point = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(len(key), -1)
+            key, node, n, rest, label = (np.asarray(batch.column(i)).astype(np.int64) for i in range(5))
+            point = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(len(key), -1)
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
                 if page and key[s] != current:
                     yield from flush(page)
                     page = []
                 current = key[s]
-                page.append((node[s:e], n[s:e], label[s:e], point[s:e]))
+                page.append((node[s:e], n[s:e], rest[s:e], label[s:e], point[s:e]))
         if page:
             yield from flush(page)
 
@@ -307,25 +358,26 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     rows = scan.where("node is not null").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "node")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
     hot = (
-        scan.where("node is null").groupBy("a").agg(F.sum("b").alias("b")).where("b >= 16")
+        scan.where("node is null").groupBy("a").agg(F.sum("b").alias("b")).where("b >= 8")
         .orderBy(F.desc("b"), "a").limit(HOT_SHINGLES).toArrow()
     )
     hot = np.ascontiguousarray(np.asarray(hot["a"]).astype(np.int64).view(np.uint64)[::-1])
     hot = spark.sparkContext.broadcast(hot)
 
     keys = docs.mapInArrow(_prefixes(n, num, den, hot), "node long, n long, keys array<long>")
-    keys = keys.select(F.explode("keys").alias("key"), "node", "n")
+    keys = keys.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    keys = keys.select("key", "node", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("at")).cast("int").alias("rest"))
     pages = keys.repartition("key").sortWithinPartitions("key", "node")
-    pages = written(pages.mapInArrow(_pages, "key long, node long, n long, pivot long"), "pages")
+    pages = written(pages.mapInArrow(_pages(num, den), "key long, node long, n int, rest int, pivot long"), "pages")
 
     # one pivot for each node: the one that it shares most keys with
     hung = pages.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("c"))
     hung = hung.groupBy("node").agg(F.max_by("pivot", F.struct("c", -F.col("pivot").cast("double"), "pivot")).alias("pivot"))
-    known = pages.groupBy("node").agg(F.first("n").alias("n")).select("node").join(nodes.select("node", "first"), "node")
+    known = pages.select("node").distinct().join(nodes.select("node", "first"), "node")
     known = written(known.join(hung, "node", "left"), "known")
     bloom = _bloom(spark, known.select("first"))
     sets = docs.mapInArrow(_sets(n, bloom), "doc_id long, node long, n long, shingles binary, point binary")
-    sets = sets.join(known.withColumnRenamed("first", "doc_id"), ["doc_id", "node"])
+    sets = sets.drop("n").join(known, "node").where("doc_id = first")
     sets = written(sets.dropDuplicates(["node"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -338,10 +390,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     links = written(verified(first), "links")
     label = written(connected_components(links), "labels")
 
-    labelled = pages.select("key", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    labelled = pages.select("key", "node", "n", "rest").join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
     mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     mixed_rows = labelled.join(mixed_keys, "key", "left_semi").join(sets.select("node", "point"), "node")
-    mixed_rows = mixed_rows.select("key", "node", "n", "label", "point").repartition("key").sortWithinPartitions("key", "n", "node")
+    mixed_rows = mixed_rows.select("key", "node", "n", "rest", "label", "point").repartition("key").sortWithinPartitions("key", "n", "node")
     pairs = mixed_rows.mapInArrow(_candidates(num, den), "a long, b long").distinct()
     mine = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     more = written(verified(pairs.join(mine, "a")), "links")
