@@ -65,7 +65,7 @@ class Document:
 
 _SPACE = re.compile(r"(?:\s+|//[^\n]*)*")
 _NAME = re.compile(r"[^\W\d]\w*")
-_FLOAT = re.compile(r"[+-]?(?:\d+\.\d*|\.\d+|\d+(?=[eE]))(?:[eE][+-]?\d+)?([dfDF]?)")
+_FLOAT = re.compile(r"[+-]?(?:\d+\.\d*|\.\d+|\d+(?=[eEdDfF]))(?:[eE][+-]?\d+)?([dfDF]?)(?!\w)")
 _INT = re.compile(r"[+-]?(?:0[xX][0-9a-fA-F]+|0[bB][01]+|\d+)(ll|ull|ul|u|_[su](?:8|16|32|64))?(?![\w])")
 # The bits of each integer suffix, and whether it is unsigned.
 _SUFFIX = {None: (32, False), "ll": (64, False), "ull": (64, True), "ul": (64, True), "u": (32, True)}
