@@ -40,6 +40,7 @@ HOT_SHINGLES = 1 << 17
 BLOOM_BITS = 1 << 25
 LEAF = 32
 LARGE = 512
+HANGING_ROUNDS = 3
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -127,14 +128,12 @@ def _pages(num: int, den: int):
     rest counts a set's shingles from the key on, in the common order. Where
     the key is the first one that two sets share, their overlap is at most the
     smaller rest; every linked pair has such a key, so rows without a partner
-    that this bound allows can go. pivot is the smallest such partner, if it is
-    smaller than the row's own node. A page of over LARGE rows isn't tested:
-    all its rows stay, with its first node as pivot.
+    that this bound allows can go. A page of over LARGE rows isn't tested: all
+    its rows stay.
     """
 
-    def told(key, node, n, rest, pivot):
-        names = ["key", "node", "n", "rest", "pivot"]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, n, rest, pivot)], names)
+    def told(key, node, n, rest):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, n, rest)], ["key", "node", "n", "rest"])
 
     def tested(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, node, n, rest = rows
@@ -143,28 +142,26 @@ def _pages(num: int, den: int):
         key, node, n, rest = (x[keep] for x in rows)
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         lens = np.diff(np.append(starts, len(key)))
-        keep, pivot = np.zeros(len(key), bool), node.copy()
+        keep = np.zeros(len(key), bool)
         two = starts[lens == 2]
         fits = (num + den) * np.minimum(rest[two], rest[two + 1]) >= num * (n[two] + n[two + 1])
         two = two[fits]
         keep[two] = keep[two + 1] = True
-        pivot[two + 1] = node[two]
         for a, m in zip(starts[lens > 2].tolist(), lens[lens > 2].tolist(), strict=True):
             page = slice(a, a + m)
             if m > LARGE:
-                keep[page], pivot[page] = True, node[a]
+                keep[page] = True
                 continue
             r, s = rest[page], n[page]
             fits = (num + den) * np.minimum(r[:, None], r) >= num * (s[:, None] + s)
             np.fill_diagonal(fits, False)
             keep[page] = fits.any(axis=1)
-            pivot[page] = np.minimum(node[page], node[page][fits.argmax(axis=1)])
         if keep.any():
-            yield told(key[keep], node[keep], n[keep], rest[keep], pivot[keep])
+            yield told(key[keep], node[keep], n[keep], rest[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        hot: tuple[int, int, int] | None = None  # a page that was too large to hold: key, pivot, last node told
+        hot: tuple[int, int] | None = None  # a page that was too large to hold: key, last node told
         for batch in batches:
             rows = [np.asarray(batch.column(i)) for i in range(4)]
             if not len(rows[0]):
@@ -176,10 +173,10 @@ def _pages(num: int, den: int):
                 key, node, n, rest = (x[:mine] for x in rows)
                 new = np.ones(mine, bool)
                 new[1:] = node[1:] != node[:-1]
-                new &= node > hot[2]
+                new &= node > hot[1]
                 if new.any():
-                    yield told(key[new], node[new], n[new], rest[new], np.full(int(new.sum()), hot[1]))
-                    hot = (hot[0], hot[1], int(node[-1]))
+                    yield told(key[new], node[new], n[new], rest[new])
+                    hot = (hot[0], int(node[-1]))
                 rows = [x[mine:] for x in rows]
                 if not len(rows[0]):
                     held = None
@@ -190,7 +187,7 @@ def _pages(num: int, den: int):
                 yield from tested([x[:last] for x in rows])
             held = [x[last:] for x in rows]
             if len(held[0]) > 100 * LARGE:
-                hot = (int(held[0][0]), int(held[1][0]), int(held[1][-1]))
+                hot = (int(held[0][0]), int(held[1][-1]))
                 yield from tested(held)
                 held = None
         if held is not None:
@@ -368,41 +365,53 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     keys = keys.select("node", "n", F.posexplode("keys").alias("at", "key"))
     keys = keys.select("key", "node", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("at")).cast("int").alias("rest"))
     pages = keys.repartition("key").sortWithinPartitions("key", "node")
-    pages = written(pages.mapInArrow(_pages(num, den), "key long, node long, n int, rest int, pivot long"), "pages")
+    pages = written(pages.mapInArrow(_pages(num, den), "key long, node long, n int, rest int"), "pages")
 
-    # one pivot for each node: the one that it shares most keys with
-    hung = pages.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("c"))
-    hung = hung.groupBy("node").agg(F.max_by("pivot", F.struct("c", -F.col("pivot").cast("double"), "pivot")).alias("pivot"))
-    known = pages.select("node").distinct().join(nodes.select("node", "first"), "node")
-    known = written(known.join(hung, "node", "left"), "known")
+    known = written(pages.select("node").distinct().join(nodes.select("node", "first"), "node"), "known")
     bloom = _bloom(spark, known.select("first"))
     sets = docs.mapInArrow(_sets(n, bloom), "doc_id long, node long, n long, shingles binary, point binary")
     sets = sets.drop("n").join(known, "node").where("doc_id = first")
-    sets = written(sets.dropDuplicates(["node"]), "sets")
+    sets = written(sets.dropDuplicates(["node"]).select("node", "shingles", "point"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b, set of a)."""
+        """The pairs (a, b) that link."""
+        mine = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         theirs = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.join(theirs, "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_verified(num, den), "a long, b long")
-
-    first = sets.where("pivot is not null").select(F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("shingles").alias("x"))
-    links = written(verified(first), "links")
+        both = pairs.join(mine, "a").join(theirs, "b").select("a", "b", "x", "y")
+        return written(both.mapInArrow(_verified(num, den), "a long, b long"), "links")
+
+    def labelled() -> DataFrame:
+        """The pages of two components or more, with a label for each row's."""
+        rows = pages.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        torn = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        return rows.join(torn, "key", "left_semi")
+
+    # Hang near copies together first, one verified pair for each set and round: it and the pivot that it shares most
+    # pages with. A page's pivot is first the set with the most company in all its pages, then one by chance.
+    company = pages.join(pages.groupBy("key").agg(F.count("*").alias("c")), "key").groupBy("node").agg(F.sum("c").alias("w"))
+    links, label = None, spark.createDataFrame([], "node long, component long")
+    for turn in range(HANGING_ROUNDS):
+        members = (labelled() if turn else pages.withColumn("label", F.col("node"))).select("key", "node", "label")
+        members = members.withColumn("w", F.xxhash64("node", "key", F.lit(turn))) if turn else members.join(company, "node")
+        pivots = members.groupBy("key").agg(F.max(F.struct("w", F.col("node").alias("b"), F.col("label").alias("to"))).alias("p"))
+        hung = members.drop("w").join(pivots.select("key", "p.*"), "key").where("label <> to")
+        hung = hung.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("c"), F.max("w").alias("w"))
+        hung = hung.groupBy("a").agg(F.max(F.struct("c", "w", "b")).alias("at")).select("a", "at.b")
+        new = verified(hung)
+        links = links.union(new) if links is not None else new
+        label = written(connected_components(links), "labels")
+
+    # then whatever pairs of different components the trees let through
+    torn = labelled().join(sets.select("node", "point"), "node").select("key", "node", "n", "rest", "label", "point")
+    torn = torn.repartition("key").sortWithinPartitions("key", "n", "node")
+    pairs = torn.mapInArrow(_candidates(num, den), "a long, b long").distinct()
+    links = links.union(verified(pairs))
     label = written(connected_components(links), "labels")
 
-    labelled = pages.select("key", "node", "n", "rest").join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    mixed_rows = labelled.join(mixed_keys, "key", "left_semi").join(sets.select("node", "point"), "node")
-    mixed_rows = mixed_rows.select("key", "node", "n", "rest", "label", "point").repartition("key").sortWithinPartitions("key", "n", "node")
-    pairs = mixed_rows.mapInArrow(_candidates(num, den), "a long, b long").distinct()
-    mine = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    more = written(verified(pairs.join(mine, "a")), "links")
-    label = written(connected_components(links.union(more)), "labels")
-
     nodes = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     nodes = nodes.join(smallest, "component").select("node", "component_id", "n_copies")
-    for table in (pages, known, sets, links, more):
+    for table in (pages, known, sets, links):
         dropped(table)
     return rows.join(nodes, "node", "left").select(
         "doc_id",
