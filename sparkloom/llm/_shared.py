@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.workers import shipped
+
+__all__ = ["dropped", "shared_dir", "shipped", "written"]
+
 _OWN_DIR: dict[str, str] = {}
-_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,17 +37,3 @@ def dropped(df: DataFrame) -> None:
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def shipped(spark: SparkSession) -> SparkSession:
-    """Give Python workers this package, wherever they run; once for each Spark application."""
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        root = Path(__file__).resolve().parents[1]
-        to = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom_workers.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(to))
-        _SHIPPED.add(app)
-    return spark
