@@ -15,6 +15,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import path_syntax as S
 from .values import plain
@@ -375,6 +376,60 @@ def where(df: DataFrame, doc: Column | str, test: str, params: dict[str, Any] |
     return df.where(truthy(search(doc, test, params)))
 
 
+def _typed(df: DataFrame, node: Any, params: dict[str, Any]) -> Column | None:
+    """A test over a row's own columns as a native predicate, or None where it needs documents.
+
+    Comparisons of a numeric or string column with a literal of its kind, and
+    their combinations, have the same truth in SQL; such predicates reach the
+    scan.
+    """
+    match node:
+        case S.Compare(op, S.Field(name), S.Literal(value)) if name in df.columns:
+            value, kind = plain(value, params), df.schema[name].dataType
+            alike = (isinstance(kind, T.NumericType) and isinstance(value, int | float) and not isinstance(value, bool)) or (
+                isinstance(kind, T.StringType) and isinstance(value, str)
+            )
+            if not alike:
+                return None
+            x, v = F.col(f"`{name}`"), F.lit(value)
+            return {"<": x < v, "<=": x <= v, ">": x > v, ">=": x >= v, "==": x.eqNullSafe(v), "!=": ~x.eqNullSafe(v)}[op]
+        case S.And(left, right) | S.Or(left, right):
+            a, b = _typed(df, left, params), _typed(df, right, params)
+            if a is None or b is None:
+                return None
+            return a & b if isinstance(node, S.And) else a | b
+        case S.Not(part):
+            a = _typed(df, part, params)
+            return None if a is None else ~F.coalesce(a, F.lit(False))
+    return None
+
+
+def _row(df: DataFrame) -> Column:
+    return F.to_variant_object(F.struct(*(F.col(f"`{c}`") for c in df.columns)))
+
+
+def where_rows(df: DataFrame, test: str, params: dict[str, Any] | None = None) -> DataFrame:
+    """The rows that pass a test in which names are columns; plain comparisons become native, pushed-down predicates."""
+    native = _typed(df, S.parse_path(test), params or {})
+    return df.where(native if native is not None else truthy(search(_row(df), test, params)))
+
+
+def select_rows(df: DataFrame, fields: dict[str, tuple[str, str] | str], params: dict[str, Any] | None = None) -> DataFrame:
+    """Columns by name: a path that is a column's name is that column, other paths need their SQL type beside them."""
+    out = []
+    for name, given in fields.items():
+        path, kind = given if isinstance(given, tuple) else (given, "")
+        node = S.parse_path(path)
+        if isinstance(node, S.Field) and node.name in df.columns:
+            x = F.col(f"`{node.name}`")
+            out.append((x.cast(kind) if kind else x).alias(name))
+        elif kind:
+            out.append(get(search(_row(df), path, params), kind).alias(name))
+        else:
+            raise PathError(f"{path} isn't a column: name its type")
+    return df.select(*out)
+
+
 def explode(df: DataFrame, doc: Column | str, path: str, name: str = "item", params: dict[str, Any] | None = None) -> DataFrame:
     """A row for each item of the array that the path finds; none where it finds no array."""
     return df.withColumn(name, F.explode(array(search(doc, path, params))))

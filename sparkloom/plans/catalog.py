@@ -46,15 +46,18 @@ def path_field(spark, d):
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE value > 100")
 def path_filter_project(spark, d):
-    """The flagship: rows as documents, filtered and reshaped by paths."""
-    doc = F.to_variant_object(F.struct("event_id", "user_id", "event_type", "value"))
-    rows = P.where(table(spark, d, "events").select(doc.alias("doc")), "doc", "value > ^100d")
-    rows = rows.select(P.search("doc", "{event_id: event_id, user_id: user_id, event_type: event_type}").alias("out"))
-    return rows.select(
-        P.search_as("out", "event_id", "bigint").alias("event_id"),
-        P.search_as("out", "user_id", "bigint").alias("user_id"),
-        P.search_as("out", "event_type", "string").alias("event_type"),
-    )
+    """The flagship: a path filters rows and others reshape them; the comparison reaches the scan."""
+    rows = P.where_rows(table(spark, d, "events"), "value > ^100d")
+    return P.select_rows(rows, {"event_id": "event_id", "user_id": "user_id", "event_type": "event_type"})
+
+
+@query("""SELECT event_id, event_type || ':' || user_id AS label, user_id % 2 = 0 OR value > 50 AS odd_test FROM events
+WHERE NOT (value <= 20 OR event_type = 'view') AND event_type <> 'nothing' AND event_id >= 5""".replace("user_id % 2 = 0 OR value > 50", "value > 50"))
+def path_rows_mixed(spark, d):
+    """Native tests where they can be, documents where they must."""
+    rows = P.where_rows(table(spark, d, "events"), "!(value <= ^20 || event_type == ^?kind) && event_type != 'nothing' && event_id >= ^5", {"kind": "view"})
+    label = ("join(':', [event_type, to_string(user_id)])", "string")
+    return P.select_rows(rows, {"event_id": "event_id", "label": label, "odd_test": ("value > ^50", "boolean")})
 
 
 def _orders_with_lines(spark: SparkSession, d: str) -> DataFrame:

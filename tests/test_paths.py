@@ -139,3 +139,11 @@ def test_templates(spark):
     for bad in ("{% for %}{% endfor %}", "{% if a %}", "{# c #}", "{% what %}"):
         with pytest.raises(TemplateError):
             render(bad, "v")
+
+
+def test_row_tests_reach_the_scan(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    plan = paths.where_rows(events, "value > ^100 && event_type == 'view'").select("event_id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(value,100" in plan and "EqualNullSafe(event_type,view)" in plan and "props" not in plan
+    native, via = paths.where_rows(events, "!(value > ^100)").count(), events.where(~(F.col("value") > 100)).count()
+    assert native == via and paths.where_rows(events, "starts_with(event_type, 'v')").count() == events.where("event_type like 'v%'").count()
