@@ -34,13 +34,14 @@ from ._shared import dropped, shipped, written
 from ._text import lists, mixed, shingle_sets, slices
 from .graph import connected_components
 
-GROUPS = 128
+GROUPS = 512
+COARSE = 4
 HASH_BYTES = 6  # of a shingle's hash where two sets are compared
-HOT_SHINGLES = 1 << 17
+HOT_SHINGLES = 1 << 20
 BLOOM_BITS = 1 << 25
 LEAF = 32
 LARGE = 512
-HANGING_ROUNDS = 3
+HANGING_ROUNDS = 2
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -197,8 +198,8 @@ def _pages(num: int, den: int):
 
 
 def count_vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """A set's point: how many of its shingles fall into each group."""
-    return np.minimum(np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups), 65535).astype(np.uint16)
+    """A set's point: how many of its shingles fall into each group, 255 at most; what is over that is bounded by the size."""
+    return np.minimum(np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
 
 def _sets(n: int, bloom):
@@ -255,30 +256,43 @@ def _verified(num: int, den: int):
 
 
 class RTree:
-    """A packed R-tree over the points of one page, in order of size: leaves of LEAF points under boxes."""
+    """A packed R-tree over the points of one page, in order of size: leaves of LEAF points under boxes.
+
+    Boxes and a first test of points use sums of COARSE neighbouring
+    coordinates, points that pass are tested on all.
+    """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rests: np.ndarray):
         self.points, self.sizes, self.labels, self.rests = points, sizes, labels, rests
+        self.rough = points.reshape(len(points), -1, COARSE).sum(axis=2, dtype=np.uint16)
+        self.over = sizes - points.sum(axis=1, dtype=np.int64)  # shingles that the points don't count
         self.at = np.arange(0, len(points), LEAF)
-        self.upper = np.maximum.reduceat(points, self.at, axis=0)
+        self.upper = np.maximum.reduceat(self.rough, self.at, axis=0)
+        self.most = np.maximum.reduceat(self.over, self.at)
         self.low, self.high = np.minimum.reduceat(sizes, self.at), np.maximum.reduceat(sizes, self.at)
         one, other = np.minimum.reduceat(labels, self.at), np.maximum.reduceat(labels, self.at)
-        self.only = np.where(one == other, one, -1)  # the label of a box with one
-        self.pure = one == other
-
-    def partners(self, point: np.ndarray, size: int, label: int, rest: int, num: int, den: int, end: int) -> np.ndarray:
-        """Indices below end with another label whose bounds allow (num + den) * overlap >= num * (size + their size)."""
-        boxes = -(-end // LEAF)
-        up = np.minimum(self.upper[:boxes], point).sum(axis=1, dtype=np.int64)
-        fits = ((num + den) * up >= num * (size + self.low[:boxes])) & (den * self.high[:boxes] >= num * size)
-        fits &= ~(self.pure[:boxes] & (self.only[:boxes] == label))
-        hits = [np.arange(self.at[i], min(self.at[i] + LEAF, end)) for i in np.flatnonzero(fits)]
+        self.only, self.pure = one, one == other
+
+    def partners(self, i: int, num: int, den: int) -> np.ndarray:
+        """Points with another label than point i whose bounds allow (num + den) * overlap >= num * (size + size of i)."""
+        size, label, over = self.sizes[i], self.labels[i], self.over[i]
+
+        def bound(uppers, point, most):
+            return np.minimum(uppers, point).sum(axis=1, dtype=np.int64) + np.minimum(most, over)
+
+        boxes = (den * self.high >= num * size) & (num * self.low <= den * size) & ~(self.pure & (self.only == label))
+        boxes &= (num + den) * bound(self.upper, self.rough[i], self.most) >= num * (size + self.low)
+        hits = [np.arange(a, min(a + LEAF, len(self.sizes))) for a in self.at[boxes]]
         if not hits:
             return np.zeros(0, np.int64)
         at = np.concatenate(hits)
-        at = at[(self.labels[at] != label) & ((num + den) * np.minimum(self.rests[at], rest) >= num * (size + self.sizes[at]))]
-        bound = np.minimum(self.points[at], point).sum(axis=1, dtype=np.int64)
-        return at[((num + den) * bound >= num * (size + self.sizes[at])) & (den * self.sizes[at] >= num * size)]
+        need = num * (size + self.sizes[at])
+        fits = (self.labels[at] != label) & ((num + den) * np.minimum(self.rests[at], self.rests[i]) >= need)
+        at, need = at[fits], need[fits]
+        for points in (self.rough, self.points):
+            fits = (num + den) * bound(points[at], points[i], self.over[at]) >= need
+            at, need = at[fits], need[fits]
+        return at
 
 
 def _candidates(num: int, den: int):
@@ -287,9 +301,13 @@ def _candidates(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(page):
             node, size, rest, label, point = (np.concatenate(x) for x in zip(*page, strict=True))
+            # of two labels at least one isn't the page's most frequent
+            names, counts = np.unique(label, return_counts=True)
+            if len(names) < 2:
+                return
             tree = RTree(point, size, label, rest)
-            for i in range(1, len(node)):
-                for j in tree.partners(point[i], int(size[i]), int(label[i]), int(rest[i]), num, den, i):
+            for i in np.flatnonzero(label != names[counts.argmax()]).tolist():
+                for j in tree.partners(i, num, den):
                     pair = (int(min(node[i], node[j])), int(max(node[i], node[j])))
                     if pair not in told:
                         told.add(pair)
@@ -309,7 +327,7 @@ def _candidates(num: int, den: int):
             if not batch.num_rows:
                 continue
             key, node, n, rest, label = (np.asarray(batch.column(i)).astype(np.int64) for i in range(5))
-            point = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(len(key), -1)
+            point = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(key), -1)
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
                 if page and key[s] != current:
@@ -355,7 +373,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     rows = scan.where("node is not null").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "node")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
     hot = (
-        scan.where("node is null").groupBy("a").agg(F.sum("b").alias("b")).where("b >= 8")
+        scan.where("node is null").groupBy("a").agg(F.sum("b").alias("b")).where("b >= 4")
         .orderBy(F.desc("b"), "a").limit(HOT_SHINGLES).toArrow()
     )
     hot = np.ascontiguousarray(np.asarray(hot["a"]).astype(np.int64).view(np.uint64)[::-1])
