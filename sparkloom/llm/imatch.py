@@ -35,12 +35,12 @@ def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame
     for r in range(SUBSETS):
         digits = F.substring(F.md5(F.concat(F.lit(f"{r}:"), F.col("term"))), 1, 2)
         mask = mask + F.when(digits < "02", F.lit(1 << r).cast("long")).otherwise(F.lit(0).cast("long"))
-    return kept.select("term", mask.alias("mask")).where("mask <> 0")
+    # the test names df, so that it stays above the counting and isn't made for every word of every text
+    return kept.select("term", F.when(F.col("df") > 0, mask).alias("mask")).where("mask <> 0")
 
 
 def _signatures(found: Column) -> Column:
-    """From array<struct<term, mask>>: SUBSETS signatures over the sorted terms."""
-    found = F.sort_array(found)
+    """From sorted array<struct<term, mask>>: SUBSETS signatures."""
 
     def signature(bit: int) -> Column:
         mine = F.transform(F.filter(found, lambda t: t["mask"].bitwiseAND(F.lit(bit).cast("long")) != 0), lambda t: t["term"])
@@ -98,6 +98,7 @@ def document_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH)
     )
     empty = F.array().cast("array<struct<term: string, mask: bigint>>")
     prints = both.select("doc_id", "next_id", "n_chars", F.sha2("text", 256).alias("sha"), F.sha2("edited", 256).alias("edited_sha256"))
+    found = found.select("doc_id", F.sort_array("own").alias("own"), F.sort_array("other").alias("other"))
     prints = prints.join(found, "doc_id", "left").select(
         "doc_id",
         "next_id",
