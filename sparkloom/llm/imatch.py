@@ -7,6 +7,10 @@ subsets keeps a term with a chance of 1/128, decided by a hash of term and
 subset; a signature hashes the sorted terms of one subset, and a fingerprint is
 the list of all signatures. Two fingerprints are alike by the share of equal
 signatures among the subsets in which either text has a term.
+
+These samples leave most of the lexicon in no subset. With whole=True every
+term is also in the subset that its CRC-32 names, so the subsets cover the
+lexicon, and a text without a term in the band is signed over all its words.
 """
 
 from __future__ import annotations
@@ -26,7 +30,12 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
 
-def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+def _home(term: Column) -> Column:
+    """The mask of the one subset that a term is always in if the lexicon is covered."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (F.crc32(term.cast("binary")) % SUBSETS).cast("int"))
+
+
+def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH, whole: bool = False) -> DataFrame:
     """(term, mask) of the words of texts (text) within the band, in two documents and a subset at least; bit r of mask: is it in subset r?"""
     n = texts.count()
     counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -35,6 +44,8 @@ def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame
     for r in range(SUBSETS):
         digits = F.substring(F.md5(F.concat(F.lit(f"{r}:"), F.col("term"))), 1, 2)
         mask = mask + F.when(digits < "02", F.lit(1 << r).cast("long")).otherwise(F.lit(0).cast("long"))
+    if whole:
+        mask = mask.bitwiseOR(_home(F.col("term")))
     # the test names df, so that it stays above the counting and isn't made for every word of every text
     return kept.select("term", F.when(F.col("df") > 0, mask).alias("mask")).where("mask <> 0")
 
@@ -71,17 +82,18 @@ def _successors(ids: DataFrame) -> DataFrame:
     return dealt.withColumn("inner", inner).join(after, "part").select("doc_id", F.coalesce("inner", "after").alias("next_id"))
 
 
-def document_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+def document_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, whole: bool = False) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of docs (doc_id, text).
 
     The edited text's last floor(n_chars / 2) code points are the first as many
     of the next document's, by ascending doc_id. Null texts are empty; rows
     with a null doc_id are left out; of rows that repeat a doc_id the smallest
     text counts, once. A text without a term in the band has the fingerprint
-    of empty signatures and is like no other but an equal text.
+    of empty signatures and is like no other but an equal text; if whole, only
+    a text without words has.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = F.broadcast(written(lexicon(docs.select("text"), low, high), "lexicon"))
+    known = F.broadcast(written(lexicon(docs.select("text"), low, high, whole), "lexicon"))
     succession = written(_successors(docs.select("doc_id").distinct()), "successors")
     texts = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
     mine = texts.join(succession, "doc_id").withColumn("n_chars", F.char_length("text").cast("long"))
@@ -96,8 +108,19 @@ def document_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH)
     found = words.groupBy("doc_id").agg(
         *(F.collect_list(F.when(F.col("side") == i, F.struct("term", "mask"))).alias(c) for i, c in enumerate(("own", "other")))
     )
-    empty = F.array().cast("array<struct<term: string, mask: bigint>>")
-    prints = both.select("doc_id", "next_id", "n_chars", F.sha2("text", 256).alias("sha"), F.sha2("edited", 256).alias("edited_sha256"))
+
+    def rest(text: str) -> Column:
+        """What a text without terms in the band is signed over."""
+        if not whole:
+            return F.array().cast("array<struct<term: string, mask: bigint>>")
+        return F.transform(F.sort_array(terms(F.col(text))), lambda t: F.struct(t.alias("term"), _home(t).alias("mask")))
+
+    def signed(found: str, text: str) -> Column:
+        return _signatures(F.when(F.size(found) > 0, F.col(found)).otherwise(rest(text)))
+
+    prints = both.select(
+        "doc_id", "next_id", "n_chars", F.sha2("text", 256).alias("sha"), F.sha2("edited", 256).alias("edited_sha256"), *["text", "edited"] * whole
+    )
     found = found.select("doc_id", F.sort_array("own").alias("own"), F.sort_array("other").alias("other"))
     prints = prints.join(found, "doc_id", "left").select(
         "doc_id",
@@ -105,8 +128,8 @@ def document_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH)
         "n_chars",
         "sha",
         "edited_sha256",
-        _signatures(F.coalesce("own", empty)).alias("fingerprint"),
-        _signatures(F.coalesce("other", empty)).alias("edited_fingerprint"),
+        signed("own", "text").alias("fingerprint"),
+        signed("other", "edited").alias("edited_fingerprint"),
     )
     prints = written(prints, "fingerprints")
     nexts = prints.select(F.col("doc_id").alias("next_id"), F.col("sha").alias("next_sha"), F.col("fingerprint").alias("next_print"))

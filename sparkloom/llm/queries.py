@@ -49,6 +49,12 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op5_whole_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import document_fingerprints
+
+    return document_fingerprints(_table(spark, sf_dir, "documents"), whole=True)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import WEIGHTS, document_levels, mix_sources
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_top_k_search": op4_top_k_search,
     "op5_document_fingerprints": op5_document_fingerprints,
+    "op5_whole_fingerprints": op5_whole_fingerprints,
     "op6_mix_sources": op6_mix_sources,
     "op7_token_shards": op7_token_shards,
     "op8_quality_classifier": op8_quality_classifier,

@@ -210,6 +210,19 @@ def test_op5(spark, docs, odd, none):
     assert got[0] > got[1] >= 0 and got[2] >= 0 and got[3] <= 1
 
 
+def test_op5_whole_lexicon(spark):
+    common = [f"c{k}" for k in range(40)]
+    pair = [f"p{k}" for k in range(40)]
+    texts = {i: " ".join(common) for i in range(6, 200)}
+    texts |= {0: " ".join(pair), 1: " ".join(["new", *pair[1:]]), 2: "words of no other text", 3: "alone here too", 4: " ".join(common[:39]), 5: " "}
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    assert {r.term for r in imatch.lexicon(df, whole=True).collect()} == set(pair[1:])  # all of the band is in a subset
+    rows = {r.doc_id: r for r in imatch.document_fingerprints(df, whole=True).collect()}
+    assert rows[0].near_next >= 0.9 and rows[1].near_next == 0  # near copies, unlike texts
+    assert len({rows[i].fingerprint for i in (0, 2, 3, 4, 5, 6)}) == 6 and rows[6].fingerprint == rows[7].fingerprint
+    assert 0.8 <= spark.range(1).select(imatch.likeness(F.lit(rows[4].fingerprint), F.lit(rows[6].fingerprint))).first()[0] < 1
+
+
 def test_op5_and_op6_are_native(spark, docs):
     for df in (imatch.lexicon(docs), mixing.mix_sources(docs, mixing.document_levels(), mixing.WEIGHTS)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
