@@ -26,7 +26,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies; rows without doc_id stay."""
-    groups = ngram_jaccard_join(docs)
+    groups = ngram_jaccard_join(docs, count_links=False)
     first = groups.where("doc_id = component_id").select("doc_id")
     kept = docs.join(first.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -18,7 +18,10 @@ steers cost: any order gives the same links.
 
 Large groups of near copies are first hung onto one shared pivot each, by
 verified links; pages inside one component need no further pairs. So links are
-found up to connectivity, and groups never expand into all pairs.
+found up to connectivity, and groups never expand into all pairs of rows.
+
+Links never leave a component, so they are counted there: a component's sets
+are dealt into blocks, and a task compares whole sets of two blocks at a time.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ HOT_SHINGLES = 1 << 20
 BLOOM_BITS = 1 << 25
 LEAF = 32
 LARGE = 512
+BLOCK = 256  # sets of a component in a block
 HANGING_ROUNDS = 2
 
 
@@ -255,6 +259,67 @@ def _verified(num: int, den: int):
     return run
 
 
+def _counted(num: int, den: int):
+    """From rows (component, i, j, side, node, n_copies, shingles) sorted by component, i and j: (node, linked).
+
+    Sets of side 0 are compared with those of side 1, or with each other where
+    i = j; linked sums n_copies of the sets that a set links with there.
+    """
+
+    def compared(page):
+        side, node, copies, sets = (np.concatenate(x) for x in zip(*page, strict=True))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = not len(right)
+        right = left if same else right
+        sets = [_unpacked(x) for x in sets]
+        size = np.array([len(x) for x in sets])
+        right = right[np.argsort(size[right], kind="stable")]
+        values, at = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(size)
+        at = [at[e - n : e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+        flat = np.concatenate([at[k] for k in right.tolist()]) if len(right) else at[0][:0]
+        starts = np.concatenate(([0], np.cumsum(size[right])))
+        mark, linked = np.zeros(len(values), np.uint8), np.zeros(len(sets), np.int64)
+        for k in left.tolist():
+            n = int(size[k])
+            lo, hi = np.searchsorted(size[right], -(-num * n // den)), np.searchsorted(size[right], den * n // num if num else ends[-1], "right")
+            if lo >= hi:
+                continue
+            mark[at[k]] = 1
+            common = np.add.reduceat(mark[flat[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+            mark[at[k]] = 0
+            others = right[lo:hi]
+            fits = den * common >= num * (n + size[others] - common)
+            others = others[fits & (others != k)]
+            linked[k] += copies[others].sum()
+            if not same:
+                linked[others] += copies[k]
+        some = linked > 0
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(linked[some])], ["node", "linked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, current = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group, rows = [np.asarray(batch.column(k)) for k in range(3)], [np.asarray(batch.column(k)) for k in range(3, 6)]
+            sets = np.empty(batch.num_rows, object)
+            sets[:] = batch.column(6).to_pylist()
+            new = np.any([x[1:] != x[:-1] for x in group], axis=0)
+            starts = np.concatenate(([0], np.flatnonzero(new) + 1))
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                mine = tuple(int(x[s]) for x in group)
+                if page and mine != current:
+                    yield compared(page)
+                    page = []
+                current = mine
+                page.append((*(x[s:e] for x in rows), sets[s:e]))
+        if page:
+            yield compared(page)
+
+    return run
+
+
 class RTree:
     """A packed R-tree over the points of one page, in order of size: leaves of LEAF points under boxes.
 
@@ -356,14 +421,15 @@ def _bloom(spark: SparkSession, ids: DataFrame):
     return spark.sparkContext.broadcast(words)
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_copies) for each row of docs (doc_id, text).
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_copies, n_links) for each row of docs (doc_id, text).
 
     Two rows link where den * |intersection| >= num * |union| of their distinct
     n-word shingles; component_id is the smallest doc_id reachable by links,
-    n_copies how many rows have the very same set. Null and blank texts have
+    n_copies how many rows have the very same set, n_links how many other rows
+    a row links with (left out unless count_links). Null and blank texts have
     no shingles and link with nothing (component_id is their own doc_id,
-    n_copies 1); rows with a null doc_id have no identity and are left out;
+    n_copies 1, n_links 0); rows with a null doc_id have no identity and are left out;
     repeated rows stay and link with each other. Columns other than doc_id and
     text are ignored.
     """
@@ -428,7 +494,22 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
 
     nodes = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    nodes = nodes.join(smallest, "component").select("node", "component_id", "n_copies")
+    if count_links:
+        members = sets.select("node", "shingles").join(nodes.select("node", "component", "n_copies"), "node")
+        blocks = members.groupBy("component").agg(F.count("*").alias("c")).where("c > 1")
+        members = members.join(blocks.select("component", F.ceil(F.col("c") / BLOCK).alias("blocks")), "component")
+        members = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        members = members.select(
+            "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+            (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "n_copies", "shingles",
+        )
+        members = members.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+        linked = members.mapInArrow(_counted(num, den), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+        nodes = nodes.join(written(linked, "linked"), "node", "left")
+        nodes = nodes.withColumn("n_links", F.col("n_copies") - 1 + F.coalesce("linked", F.lit(0)))
+    counts = ["n_links"] * count_links
+    nodes = nodes.join(smallest, "component").select("node", "component_id", "n_copies", *counts)
     for table in (pages, known, sets, links):
         dropped(table)
     return rows.join(nodes, "node", "left").select(
@@ -436,4 +517,5 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
         "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("n_shingles") == 0, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
+        *(F.when(F.col("n_shingles") == 0, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c) for c in counts),
     )

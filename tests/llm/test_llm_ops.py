@@ -98,6 +98,26 @@ def test_op1_near_copies_passages_and_borders(spark):
     check_join(spark, texts)
 
 
+def test_op1_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    texts = {}
+    for i in range(50):  # near copies that differ, more or less
+        w = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    texts |= {50: texts[3], 51: texts[3], 52: "", 53: " ".join(base[:130]), 54: "alone in its own words here", 55: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in texts.items()}
+    fits = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = {i: sum(fits(s, t) for j, t in sets.items() if j != i) for i, s in sets.items()}
+    got = {r.doc_id: r.n_links for r in ngram_join.ngram_jaccard_join(df).collect()}
+    assert got == want
+    assert len(set(want.values())) > 5 and max(want.values()) < 52
+
+
 def test_op1_odd(spark, odd, none):
     assert ngram_join.ngram_jaccard_join(none).count() == 0
     rows = ngram_join.ngram_jaccard_join(odd).collect()
