@@ -1,10 +1,12 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line and every paragraph of a whole text is a vector of its words'
-frequencies times their inverse document frequency among the templates (words
+Every line, every paragraph and every window of a template's number of words
+within a paragraph of a whole text is a vector of its words' frequencies times their inverse document frequency among the templates (words
 of no template have the largest). The best cosine of LEAST or more names the
 text's own licence. Each template's heaviest words are its key words: without
 one of them a vector's cosine stays below LEAST, so such lines need no scoring.
+Of the windows only those are scored whose cosine could reach LEAST if no word
+stood in them twice, which is an upper bound.
 
 A licence file is one that is named so, or half of whose words stand in licence
 lines. A file without a licence of its own takes that of the licence file in
@@ -56,33 +58,68 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    *((name, f"SPDX-License-Identifier: {spdx}") for name, spdx in (
+        ("GPL-3.0", "GPL-3.0"), ("GPL-3.0", "GPL-3.0-or-later"), ("GPL-2.0", "GPL-2.0"), ("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0", "GPL-2.0-or-later"),
+        ("LGPL-3.0", "LGPL-3.0-only"), ("LGPL-3.0", "LGPL-3.0-or-later"), ("AGPL-3.0", "AGPL-3.0-only"), ("AGPL-3.0", "AGPL-3.0-or-later"),
+        ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("CC0-1.0", "CC0-1.0"), ("MPL-2.0", "MPL-2.0"),
+        ("BSD-3-Clause", "BSD-3-Clause"), ("ISC", "ISC"), ("Unlicense", "Unlicense"),
+    )),
 )
 
+# Short forms that name a licence by their words together: all of them must be there. So it is with SPDX lines.
+TITLES: tuple[tuple[str, str], ...] = (
+    ("MIT", "MIT License"),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
+
+# Words that tell licences apart: a text without them isn't the short notice that has them.
+NAMES = frozenset(b"mit apache gnu affero lesser cc creative noncommercial sharealike cc0 mozilla bsd".split())
+SHORT = 16  # words
+
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _INNER = np.zeros(256, bool)
 _INNER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
 class Scorer:
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST):
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES + TITLES, least: float = LEAST):
         self.least = least
         bags = [Counter(_WORD.findall(text.lower().encode())) for _, text in templates]
         df = Counter(w for b in bags for w in b)
         self.unseen = 1 + math.log(1 + len(bags))
         self.idf = {w: 1 + math.log((1 + len(bags)) / (1 + n)) for w, n in df.items()}
-        self.vectors = []
+        self.vectors, self.own_keys = [], []
         key: set[bytes] = set()
         for (name, _), bag in zip(templates, bags, strict=True):
             v = {w: n * self.idf[w] for w, n in bag.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             v = {w: x / norm for w, x in v.items()}
             self.vectors.append((name, v))
+            own: set[bytes] = set()
             rest = 1.0
             for w, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
                 if rest < least * least:
                     break
-                key.add(w)
+                own.add(w)
                 rest -= x * x
+            key |= own
+            self.own_keys.append(own)
+        self.key_words = frozenset(key)
+        whole = [text.startswith("SPDX-") or (name, text) in TITLES for name, text in templates]
+        self.needed = [bag.keys() if all_ else bag.keys() & NAMES if sum(bag.values()) <= SHORT else set() for bag, all_ in zip(bags, whole, strict=True)]
+        self.lengths = [sum(bag.values()) for bag in bags]
+        self.number = {w: i for i, w in enumerate(sorted(self.idf))}
+        self.weight = np.array([self.idf[w] for w in self.number] + [self.unseen])  # the last is any word of no template
+        self.parts = np.array([[t.get(w, 0.0) for w in self.number] + [0.0] for _, t in self.vectors]) * self.weight
         words = np.frombuffer(b" ".join(sorted(key)), np.uint8)
         starts, ends, _ = runs(_INNER[words], np.array([0, len(words)]))
         self.keys = np.unique(span_hashes(words, starts, ends))
@@ -90,10 +127,14 @@ class Scorer:
     def score(self, part: bytes) -> tuple[str | None, float]:
         """The best template's licence and cosine; ties to the name that sorts first."""
         bag = Counter(_WORD.findall(part.lower()))
+        if self.key_words.isdisjoint(bag):
+            return None, 0.0
         v = {w: n * self.idf.get(w, self.unseen) for w, n in bag.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         best: tuple[float, str] | None = None
-        for name, t in self.vectors:
+        for (name, t), own, needed in zip(self.vectors, self.own_keys, self.needed, strict=True):
+            if own.isdisjoint(bag) or not needed <= bag.keys():
+                continue
             cosine = round(sum(x * v[w] for w, x in t.items() if w in v) / norm, 9) if norm else 0.0
             if cosine >= self.least and (best is None or (-cosine, name) < (-best[0], best[1])):
                 best = (cosine, name)
@@ -111,18 +152,50 @@ class Scorer:
             out[r] = self._text(raw[offsets[r] : offsets[r + 1]])
         return out
 
+    def windows(self, words: list[bytes], part: np.ndarray) -> tuple[tuple[str | None, float], np.ndarray]:
+        """The best licence of windows that lie in one part, and which words stand in windows of LEAST or more."""
+        other = len(self.number)
+        ids = np.fromiter((self.number.get(w, other) for w in words), np.int64, len(words))
+        norms = np.concatenate(([0.0], np.cumsum(self.weight[ids] ** 2)))
+        inside, best = np.zeros(len(words), bool), (None, 0.0)
+        present = set(words)
+        known = present & self.key_words
+        for (name, t), own, m, parts, needed in zip(self.vectors, self.own_keys, self.lengths, self.parts, self.needed, strict=True):
+            if m > len(words) or own.isdisjoint(known) or not needed <= present:
+                continue
+            dots = np.concatenate(([0.0], np.cumsum(parts[ids])))
+            may = dots[m:] - dots[:-m] >= (self.least - 1e-6) * np.sqrt(norms[m:] - norms[:-m])
+            for i in np.flatnonzero(may & (part[m - 1 :] == part[: len(part) - m + 1])).tolist():
+                bag = Counter(words[i : i + m])
+                if not needed <= bag.keys():
+                    continue
+                v = {w: n * self.idf.get(w, self.unseen) for w, n in bag.items()}
+                cosine = round(sum(x * v[w] for w, x in t.items() if w in v) / math.sqrt(sum(x * x for x in v.values())), 9)
+                if cosine >= self.least:
+                    inside[i : i + m] = True
+                    best = min(best, (name, cosine), key=lambda x: (-x[1], x[0] or ""))
+        return best, inside
+
     def _text(self, text: bytes) -> tuple[str | None, float, float]:
         best: tuple[str | None, float] = (None, 0.0)
-        words = inside = 0
+        words: list[bytes] = []
+        marks: list[bool] = []
+        sizes: list[int] = []
         for part in re.split(rb"\n[ \t\r]*\n", text):
             lines = part.split(b"\n")
             found = [self.score(x) for x in lines]
-            counts = [len(_WORD.findall(x.lower())) for x in lines]
+            mine = [_WORD.findall(x.lower()) for x in lines]
             whole = self.score(part.replace(b"\n", b" ")) if len(lines) > 1 else (None, 0.0)
-            words += sum(counts)
-            inside += sum(counts) if whole[0] else sum(n for n, x in zip(counts, found, strict=True) if x[0])
+            for x, (name, _) in zip(mine, found, strict=True):
+                words += x
+                marks += [bool(whole[0] or name)] * len(x)
+            sizes.append(sum(map(len, mine)))
             best = min([best, whole, *found], key=lambda x: (-x[1], x[0] or ""))
-        return best[0], best[1], inside / words if words else 0.0
+        if not words:
+            return None, 0.0, 0.0
+        most, inside = self.windows(words, np.repeat(np.arange(len(sizes)), sizes))
+        best = min([best, most], key=lambda x: (-x[1], x[0] or ""))
+        return best[0], best[1], float(np.mean(inside | np.array(marks)))
 
 
 @cache

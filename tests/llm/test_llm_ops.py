@@ -156,6 +156,29 @@ def test_op2(spark, odd, none):
     assert licenses.license_scan(odd.select("doc_id", licenses.document_path().alias("path"), "text")).count() == len(ODD) + 2
 
 
+def test_op2_notices_amid_other_words():
+    s = licenses.Scorer()
+    rest = "of the License, or (at your option) any later version."
+    free = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} "
+    texts = {
+        "Copyright (c) 2023 Jane Doe. Released under the MIT License.": "MIT",
+        "Copyright 2021 Foo Inc. Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Some words first, about the weather. Released under the MIT License. And then some more of them, at length.": "MIT",
+        "MIT License": "MIT",
+        "MIT License\n\nCopyright (c) 2020 A\n\n" + licenses.TEMPLATES[2][1]: "MIT",
+        free.format("", 2) + rest: "GPL-2.0",
+        free.format("Affero ", 3) + rest: "AGPL-3.0",
+        "x = 1  # SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "We walked under the trees to the public library, and the general gave us permission to use it.": None,
+        "The film was long lost. It was released under the other license by then.": None,
+        "Released under\n\nthe MIT\n\nand a": None,
+    }
+    raw = [t.encode() for t in texts]
+    got = s.scan(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert {t: g[0] for t, g in zip(texts, got, strict=True)} == texts
+
+
 def test_op2_prefilter_loses_nothing(docs):
     s = licenses.Scorer()
     texts = [r.text for r in docs.select("text").limit(150).collect()] + [t for _, t in licenses.TEMPLATES] + ["License the general public", "MIT"]
