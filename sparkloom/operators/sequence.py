@@ -50,10 +50,13 @@ def rank(seq: DataFrame, queries: DataFrame, op: str = "eq", block: int = BLOCK)
     asked = queries.distinct().crossJoin(F.broadcast(last))  # one row
     asked = asked.withColumn("b", F.least(_block(F.col("pos"), block), F.col("last"))).drop("last").withColumnRenamed("symbol", "s")
     asked = asked.join(table.select("s", "b", "before"), ["s", "b"], "left")
-    rows = seq.select(_block(F.col("pos"), block).alias("b"), F.col("pos").alias("p"), "symbol")
-    inner = asked.join(rows, "b").where((F.col("p") < F.col("pos")) & OPS[op](F.col("symbol"), F.col("s")))
-    inner = inner.groupBy("pos", "s").agg(F.count("*").alias("inner"))
-    out = asked.join(inner, ["pos", "s"], "left")
+    # in a block: its rows and questions in one order, a running count of the matches before each
+    rows = seq.select(_block(F.col("pos"), block).alias("b"), "pos", "symbol").crossJoin(F.broadcast(_symbols(queries)))
+    rows = rows.select("b", "s", "pos", OPS[op](F.col("symbol"), F.col("s")).cast("int").alias("hit"), F.lit(None).cast("long").alias("before"), F.lit(False).alias("ask"))
+    both = rows.unionByName(asked.select("b", "s", "pos", F.lit(0).alias("hit"), "before", F.lit(True).alias("ask")))
+    # at one position the question comes first
+    upto = Window.partitionBy("s", "b").orderBy("pos", F.desc("ask")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn("inner", F.sum("hit").over(upto)).where("ask")
     total = F.coalesce("before", F.lit(0)) + F.coalesce("inner", F.lit(0))
     return out.select("pos", F.col("s").alias("symbol"), total.cast("long").alias("rank"))
 

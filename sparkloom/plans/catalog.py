@@ -419,6 +419,51 @@ def sequence_select_eq_nlt(spark, d):
     return S.select_eq_nlt(seq, seq.where("pos % 31 = 0").select(F.lit(2).alias("symbol"), F.col("pos").alias("r")))
 
 
+# The same over every position and symbol; the queries above keep the positions that their SQL names.
+
+_EVERY = f"WITH s AS {_SYMBOL}, k AS (SELECT DISTINCT symbol AS k FROM s)"
+
+
+def _asked_everywhere(seq: DataFrame, name: str) -> DataFrame:
+    """(symbol, pos named so) of each symbol at each position."""
+    return seq.select(F.col("pos").alias(name)).crossJoin(F.broadcast(seq.select("symbol").distinct()))
+
+
+def _whole_rank_query(op: str, sign: str) -> None:
+    def run(spark, d):
+        seq = _sequence(spark, d)
+        return S.rank(seq, _asked_everywhere(seq, "pos"), op)
+
+    run.__name__ = f"sequence_rank_whole_{op}"
+    query(f"""{_EVERY} SELECT pos, k AS symbol, count(*) FILTER (WHERE symbol {sign} k)
+      OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rank FROM s CROSS JOIN k""")(run)
+
+
+def _whole_select_query(op: str, sign: str, backward: bool) -> None:
+    def run(spark, d):
+        seq = _sequence(spark, d)
+        return S.select(seq, _asked_everywhere(seq, "r"), op, backward)
+
+    run.__name__ = f"sequence_select_whole_{'bw' if backward else 'fw'}_{op}"
+    query(f"""{_EVERY}, m AS (SELECT k, pos, row_number() OVER (PARTITION BY k ORDER BY pos {"DESC" if backward else ""}) - 1 AS r FROM s JOIN k ON symbol {sign} k)
+      SELECT k.k AS symbol, q.pos AS r, coalesce(m.pos, (SELECT count(*) FROM s)) AS pos FROM s q CROSS JOIN k LEFT JOIN m ON m.k = k.k AND m.r = q.pos""")(run)
+
+
+for _op, _sign in {"eq": "=", "neq": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}.items():
+    _whole_rank_query(_op, _sign)
+    _whole_select_query(_op, _sign, False)
+_whole_select_query("eq", "=", True)
+
+
+@query(f"""{_EVERY}, e AS (SELECT k, pos, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS r FROM s JOIN k ON symbol = k),
+l AS (SELECT k, pos, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS r FROM s JOIN k ON symbol < k), c AS (SELECT count(*) AS n FROM s)
+SELECT k.k AS symbol, q.pos AS r, least(coalesce(e.pos, n), coalesce(l.pos, n)) AS pos
+FROM s q CROSS JOIN k CROSS JOIN c LEFT JOIN e ON e.k = k.k AND e.r = q.pos LEFT JOIN l ON l.k = k.k AND l.r = q.pos""")
+def sequence_select_whole_eq_nlt(spark, d):
+    seq = _sequence(spark, d)
+    return S.select_eq_nlt(seq, _asked_everywhere(seq, "r"))
+
+
 # ---- versioned store ------------------------------------------------------------------------------------------------
 
 

@@ -44,6 +44,20 @@ def test_rank_select(spark, seq, symbols, op):
             assert got[s, r] == (at[r] if r < len(at) else n), (op, s, r)
 
 
+def test_rank_of_every_position_keeps_rows_few(spark, seq, symbols):
+    from sparkloom.plans.catalog import _asked_everywhere
+
+    ranked = S.rank(seq, _asked_everywhere(seq, "pos"), "lt", block=256)
+    want, seen = {}, [0] * 4
+    for p, x in enumerate(symbols):
+        want |= {(p, s): sum(seen[:s]) for s in range(4)}
+        seen[x] += 1
+    assert {(r.pos, r.symbol): r["rank"] for r in ranked.collect()} == want
+    # no join of questions with all rows of their block
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "<" not in "".join(x for x in plan.splitlines() if "Join" in x and "pos" in x)
+
+
 def test_runs(spark, seq, symbols):
     want, at = [], 0
     for i in range(1, len(symbols) + 1):
