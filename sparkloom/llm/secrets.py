@@ -3,8 +3,8 @@
 Strong patterns (the base kinds) stand alone. Weak candidates, which many clean
 texts hold, are only reported as part of a credential: within a scope (a
 stretch of text between blank lines) the access identifiers, secrets and
-endpoints are joined by interval, and a weak one needs its complement no more
-than `reach` code points away.
+endpoints are joined by the scope's interval: a weak one needs its complement
+in the same scope, however far.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ IDENT = re.compile(r"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|AGPA|ANPA)[A-Z0-9]{16}(?!
 KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>|,;)]+")
 SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
-REACH = 400
 
 #: Cheap to test on a whole Arrow column; every text with a span or a part has a match.
 _MAY_HOLD = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA|ASIA|AROA|AIDA|AGPA|ANPA|[0-9a-f]{24}|[A-Za-z0-9+/]{32}"
@@ -49,8 +48,8 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out
 
 
-def linked_spans(text: str, base: list[tuple[int, str, int]], reach: int = REACH) -> list[tuple[int, str, int]]:
-    """Weak candidates of a text whose complements lie in the same scope within reach."""
+def linked_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Weak candidates of a text whose complements lie in the same scope."""
     taken = sorted((s, e) for s, _, e in base)
     firsts = [s for s, _ in taken]
 
@@ -67,14 +66,14 @@ def linked_spans(text: str, base: list[tuple[int, str, int]], reach: int = REACH
     borders = [m.start() for m in SCOPE_END.finditer(text)]
 
     def near(part: tuple[int, str, int], others: list[tuple[int, str, int]]) -> bool:
-        """Is there another part in this one's scope within reach? Both lists are in order of start."""
+        """Is there another part in this one's scope? Both lists are in order of start."""
         scope = bisect_left(borders, part[0])
-        longest = max((e - s for s, _, e in others), default=0)
-        lo = bisect_left(others, (part[0] - reach - longest,))
-        for s, _, e in others[lo:]:
-            if s > part[2] + reach:
+        lo = bisect_left(others, (borders[scope - 1] + 1,)) if scope else 0
+        for i in range(lo, len(others)):
+            s, _, e = others[i]
+            if scope < len(borders) and s > borders[scope]:
                 return False
-            if e >= part[0] - reach and (s, e) != (part[0], part[2]) and bisect_left(borders, s) == scope:
+            if (s, e) != (part[0], part[2]):
                 return True
         return False
 
