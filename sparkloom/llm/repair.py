@@ -31,7 +31,7 @@ from ._text import SPACES, runs, slices, span_hashes
 
 MAGIC = b"RPG1"
 SHARD_IDS = 1 << 20
-ROUNDS, PAIRS, LEAST = 6, 1024, 8
+PAIRS, LEAST = 1024, 8
 END = 1  # the id appended to each document; texts may hold it too
 _BORDER = np.uint32(0xFFFFFFFF)  # stands for a document's end while pairs are replaced
 
@@ -149,18 +149,17 @@ def encoder(path: str) -> Encoder:
 
 
 def compress(symbols: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules as pairs): symbols from `first` on are nonterminals. Borders take no part in pairs."""
+    """(symbols, rules as pairs): symbols from `first` on are nonterminals. Borders take no part in pairs. Ends when no pair stands LEAST times."""
     symbols, rules = symbols.astype(np.uint32), []
     buckets = 1 << 18
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    full = False  # look into all buckets, where the fullest hold no frequent pair
+    while len(symbols) >= 2:
         a, b = symbols[:-1], symbols[1:]
         h = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)
         inner = (a != _BORDER) & (b != _BORDER)
         counts = np.bincount(h, inner, buckets)
-        level = np.partition(counts, buckets - PAIRS)[buckets - PAIRS]
-        at = np.flatnonzero((counts >= max(LEAST, level))[h] & inner)
+        level = LEAST if full else max(LEAST, np.partition(counts, buckets - PAIRS)[buckets - PAIRS])
+        at = np.flatnonzero((counts >= level)[h] & inner)
         if not len(at):
             break
         pairs, which, n = np.unique(a[at].astype(np.uint64) << np.uint64(32) | b[at], return_inverse=True, return_counts=True)
@@ -174,7 +173,11 @@ def compress(symbols: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         at, which = at[since % 2 == 0], which[since % 2 == 0]
         used, which = np.unique(which, return_inverse=True)
         if not len(used):
-            break
+            if level <= LEAST:
+                break
+            full = True
+            continue
+        full = False
         symbols[at] = first + sum(map(len, rules)) + which
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False

@@ -354,6 +354,18 @@ def test_op7_random_access():
         repair.Shard(b"XXXX" + data[4:])
 
 
+def test_op7_replaces_all_frequent_pairs():
+    rng = np.random.default_rng(6)
+    text = np.append(rng.integers(2, 3000, 499), repair._BORDER)
+    symbols, rules = repair.compress(np.tile(text, 200), 3000)
+    inner = (symbols[:-1] != repair._BORDER) & (symbols[1:] != repair._BORDER)
+    pairs = Counter(zip(symbols[:-1][inner].tolist(), symbols[1:][inner].tolist(), strict=True))
+    assert len(symbols) == 400 and max(pairs.values(), default=0) < repair.LEAST
+    texts = [np.append(text[:-1], 1)] * 200
+    shard = repair.Shard(repair.pack(list(range(200)), np.concatenate(texts), np.array([500] * 200), 3000))
+    assert all(shard.ids(i, i + 1).tolist() == texts[0].tolist() for i in (0, 77, 199))
+
+
 def test_op8(spark, docs, odd, none, small):
     labels = spark.read.parquet(f"{small}/labels.parquet")
     rows = quality.quality_classifier(docs, labels).join(labels, "doc_id").where("held_out").collect()
