@@ -191,6 +191,9 @@ def _pages(num: int, den: int):
             if last:
                 yield from tested([x[:last] for x in rows])
             held = [x[last:] for x in rows]
+            if len(held[0]) > 100 * LARGE:  # copies of a set from many tasks don't make a page large
+                new = np.concatenate(([True], held[1][1:] != held[1][:-1]))
+                held = [x[new] for x in held]
             if len(held[0]) > 100 * LARGE:
                 hot = (int(held[0][0]), int(held[1][-1]))
                 yield from tested(held)

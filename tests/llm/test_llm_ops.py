@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,19 @@ def test_op1_odd(spark, odd, none):
     assert by[7].component_id == by[8].component_id == 7 and by[7].n_copies == 3 and by[0].component_id == 0 and by[1].n_shingles == 0
 
 
+def test_op1_pages_of_many_copies():
+    # 300 sets that fit no other, each from 240 tasks, then the only partner of the first
+    n = np.array([10 * 2**k for k in range(13)] * 24)[:300]
+    rest = np.ones(301, np.int64)
+    n = np.append(n, n[0])
+    rest[[0, 300]] = n[0]
+    node = np.repeat(np.arange(301), 240)
+    rows = [np.full(len(node), 7), node, n[node], rest[node]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[k : k + 10000]) for x in rows], ["key", "node", "n", "rest"]) for k in range(0, len(node), 10000)]
+    got = [x for b in ngram_join._pages(75, 100)(iter(batches)) for x in b.column(1).to_pylist()]
+    assert got == [0, 300]
+
+
 def test_op1_rtree_bounds():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 400, rng.integers(5, 200))).astype(np.uint64) for _ in range(150)]
