@@ -9,6 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A temporary folder for the application; only for a session whose driver and executor are one process."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a machine's own folder is no place for a cluster's tables")
+    return _SCRATCH.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='sparkloom-')}")
 
 
 def shipped(spark: SparkSession) -> SparkSession:
