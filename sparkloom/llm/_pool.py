@@ -6,52 +6,86 @@ from collections.abc import Callable
 
 import numpy as np
 
-LIMIT = 500_000
+from ._text import equal_spans, span_hashes
+
+SPANS, BYTES = 150_000, 8 << 20
 
 
 class Pool:
-    """Spans are known by their 64-bit hash; each has a run of ids in one growing array."""
+    """Spans are known by all their bytes; each has a run of ids in one growing array."""
 
-    def __init__(self, limit: int = LIMIT):
-        self.limit = limit
+    def __init__(self, spans: int = SPANS, most: int = BYTES):
+        self.spans, self.most = spans, most
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.at: dict[bytes, int] = {}
+        self.bytes = 0
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.first = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
 
-    def _add(self, hashes: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, spans: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.at)
-        while n + len(hashes) > len(self.first):
+        while n + len(spans) > len(self.first):
             self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.first[n : n + len(hashes)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(hashes)] = sizes
+        self.first[n : n + len(spans)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(spans)] = sizes
         self.used += len(flat)
-        self.at.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        self.at.update(zip(spans, range(n, n + len(spans)), strict=True))
+        self.bytes += sum(map(len, spans))
+
+    def ids(
+        self,
+        data: np.ndarray,
+        starts: np.ndarray,
+        ends: np.ndarray,
+        make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]],
+        kinds: np.ndarray | None = None,
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids in order of the spans, ids per span); make(indices of unknown spans) gives their ids and sizes.
 
-    def ids(self, hashes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids in order of the spans, ids per span); make(indices of unknown spans) gives their ids and sizes."""
-        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.at) > self.limit:
+        Equal bytes have equal ids, whatever their kinds (0 or 1) if these are given too.
+        """
+        hashes = span_hashes(data, starts, ends)
+        if kinds is not None:
+            hashes = hashes ^ kinds.astype(np.uint64)
+        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if not equal_spans(data, starts, ends, first[back]).all():  # two spans share a hash
+            first, back = _by_value(data, starts, ends, kinds)
+        if len(self.at) > self.spans or self.bytes > self.most:
             self._clear()
-        keys = unique.tolist()
+        raw, unit = data.tobytes(), data.itemsize
+        spans = [raw[a:b] for a, b in zip((starts[first] * unit).tolist(), (ends[first] * unit).tolist(), strict=True)]
+        if kinds is not None:
+            spans = [s + b" " if k else s for s, k in zip(spans, kinds[first].tolist(), strict=True)]
         get = self.at.get
-        where = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+        where = np.fromiter((get(s, -1) for s in spans), np.int64, len(spans))
         new = np.flatnonzero(where < 0)
         if len(new):
             n = len(self.at)
-            self._add([keys[i] for i in new], *make(first[new]))
+            self._add([spans[i] for i in new.tolist()], *make(first[new]))
             where[new] = np.arange(n, n + len(new))
         where = where[back]
         return gather(self.flat, self.first[where], self.size[where])
 
 
+def _by_value(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of each value, and each span's place among these."""
+    known: dict[tuple[bytes, int], int] = {}
+    first, back = [], np.zeros(len(starts), np.int64)
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        key = (data[a:b].tobytes(), 0 if kinds is None else int(kinds[i]))
+        back[i] = known.setdefault(key, len(known))
+        if back[i] == len(first):
+            first.append(i)
+    return np.array(first, np.int64), back
+
+
 def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs flat[first : first + size] one after the other, and their sizes."""
     stop = np.cumsum(size)

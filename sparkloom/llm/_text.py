@@ -6,15 +6,16 @@ slice (or the one longest text), not the Arrow batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+LONG = 256  # bytes; longer spans are hashed one by one
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -29,22 +30,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, int(n).bit_length())
-    if size not in _POWERS:
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            with np.errstate(over="ignore"):
-                np.multiply.accumulate(p, out=p)
-            out.append(p)
-        if size > 1 << 23:  # of one giant text: not kept
-            return out[0], out[1]
-        _POWERS[size] = (out[0], out[1])
-    return _POWERS[size]
-
-
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, offsets, bytes) with about SLICE_BYTES of UTF-8 each; null texts are empty."""
     array = batch.column(column)
@@ -80,14 +65,63 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
+class Eights:
+    """The bytes of an array, read eight at a time from any place; what lies behind a span's end reads as zeros."""
+
+    def __init__(self, data: np.ndarray):
+        raw = np.ascontiguousarray(data).view(np.uint8)
+        self.data = np.concatenate((raw, np.zeros(8, np.uint8)))
+        self.words = np.ndarray((len(raw) + 1,), "<u8", self.data, 0, (1,))
+
+    def at(self, where: np.ndarray, left: np.ndarray) -> np.ndarray:
+        out = self.words[where]
+        short = np.flatnonzero(left < 8)
+        if len(short):
+            shift = ((8 - left[short]) * 8).astype(np.uint64)
+            out[short] = (out[short] << shift) >> shift
+        return out
+
+
+def _in_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return starts * data.itemsize, (ends - starts) * data.itemsize
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
-    n = len(data)
-    power, inverse = _powers(n + 1)
+    """A 64-bit hash of each (non-empty) span of bytes or code points.
+
+    Eight bytes at a time are mixed into the state by a bijection; spans of
+    more than LONG bytes have a cryptographic digest. Two spans collide by
+    chance only (2**-64 a pair).
+    """
+    eights = Eights(data)
+    at, size = _in_bytes(data, starts, ends)
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        return mixed((total[ends] - total[starts]) * inverse[starts])
+        h = mixed(size.astype(np.uint64) * _GOLDEN)
+        live = np.flatnonzero(size <= LONG)
+        at_, left = at[live], size[live]
+        while len(live):
+            h[live] = mixed(h[live] ^ eights.at(at_, left))
+            more = left > 8
+            live, at_, left = live[more], at_[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        span = eights.data[at[i] : at[i] + size[i]].tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(span, digest_size=8).digest(), "little")
+    return h
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Is span i the same as span others[i]?"""
+    eights = Eights(data)
+    at, size = _in_bytes(data, starts, ends)
+    same = size == size[others]
+    live = np.flatnonzero(same & (at != at[others]))
+    a, b, left = at[live], at[others[live]], size[live]
+    while len(live):
+        equal = eights.at(a, left) == eights.at(b, left)
+        same[live[~equal]] = False
+        more = equal & (left > 8)
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    return same
 
 
 def windows(words: np.ndarray, n: int) -> np.ndarray:

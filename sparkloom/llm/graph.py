@@ -9,7 +9,7 @@ from ._shared import dropped, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(a, b) edges between longs -> (node, component), component = smallest reachable node.
+    """(a, b) edges between longs, or any values with an order -> (node, component), component = smallest reachable node.
 
     Each round rewires every neighbour to the smallest known node and writes
     the edges to the shared folder; a hub's edges are only joined with its one
@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     last = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.union(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -36,4 +36,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         last = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+    found = written(e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node"), "components")
+    dropped(e)
+    return found

@@ -16,12 +16,17 @@ the similarity are verified on their whole shingle sets.
 Frequent shingles come last in the order, so pages stay small. The order only
 steers cost: any order gives the same links.
 
-Large groups of near copies are first hung onto one shared pivot each, by
-verified links; pages inside one component need no further pairs. So links are
-found up to connectivity, and groups never expand into all pairs of rows.
+Near copies are first hung onto pivots: each row of a page names the first set,
+in an order by hash, that its bounds allow, and a set tries the pivots that it
+was given most often. Pages inside one component need no further pairs. So
+links are found up to connectivity, and groups never expand into all pairs of
+rows. A page or a component of many sets is dealt into blocks, and a task
+compares two blocks at a time.
 
-Links never leave a component, so they are counted there: a component's sets
-are dealt into blocks, and a task compares whole sets of two blocks at a time.
+Links never leave a component, so they are counted there on whole sets.
+
+Whole sets are only shipped of pairs whose points allow a link, made anew from
+the texts each time, so that what is shuffled follows the pairs in question.
 """
 
 from __future__ import annotations
@@ -43,9 +48,12 @@ HASH_BYTES = 6  # of a shingle's hash where two sets are compared
 HOT_SHINGLES = 1 << 20
 BLOOM_BITS = 1 << 25
 LEAF = 32
+FAN = 8
 LARGE = 512
 BLOCK = 256  # sets of a component in a block
-HANGING_ROUNDS = 2
+PAGE_BLOCK = 2048  # rows of a page in a block
+PIVOTS = 3  # that a set tries
+SALTS = 16
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -60,25 +68,26 @@ def _identity(s: np.ndarray) -> int:
 
 
 def _scan(n: int):
-    """Rows (doc, size, node) of the texts, and (shingle, count, null) of shingles repeated within a task's stretch."""
+    """Rows (doc, size, node, point) of the texts, and (shingle, count, null, null) of shingles repeated within a task's stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a, b, c):
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), c], ["a", "b", "node"])
+        def out(a, b, c, d):
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), c, d], ["a", "b", "node", "point"])
 
         def repeated():
             h, counts = np.unique(np.concatenate(held), return_counts=True)
             h, counts = h[counts > 1], counts[counts > 1]
-            return out(_signed(h), counts, pa.nulls(len(h), pa.int64()))
+            return out(_signed(h), counts, pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary()))
 
         held, size = [], 0
         for batch in batches:
             for rows, offsets, data in slices(batch, "text"):
                 sets = shingle_sets(data, offsets, n)
-                yield out(rows.column("doc_id"), [len(s) for s in sets], pa.array([_identity(s) for s in sets], pa.int64()))
+                nodes = pa.array([_identity(s) for s in sets], pa.int64())
+                yield out(rows.column("doc_id"), [len(s) for s in sets], nodes, pa.array([count_vector(s).tobytes() for s in sets], pa.binary()))
                 held += sets
                 size += sum(map(len, sets))
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield repeated()
                     held, size = [], 0
         if held:
@@ -128,17 +137,21 @@ def _prefixes(n: int, num: int, den: int, hot):
 
 
 def _pages(num: int, den: int):
-    """From rows (key, node, n, rest) sorted by key and node: those that another row of their page may link with.
+    """From rows (key, node, n, rest) sorted by key and node: those that another row of their page may link with, and a pivot.
 
     rest counts a set's shingles from the key on, in the common order. Where
     the key is the first one that two sets share, their overlap is at most the
     smaller rest; every linked pair has such a key, so rows without a partner
-    that this bound allows can go. A page of over LARGE rows isn't tested: all
-    its rows stay.
+    that this bound allows can go. A row's pivot is the first set in order of
+    mixed nodes, itself included, that the bound allows. A page of over LARGE
+    rows isn't tested: all its rows stay, with one pivot for a stretch of them.
     """
 
-    def told(key, node, n, rest):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, n, rest)], ["key", "node", "n", "rest"])
+    def told(key, node, n, rest, pivot):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, n, rest, pivot)], ["key", "node", "n", "rest", "pivot"])
+
+    def lowest(node):
+        return node[np.argmin(mixed(node.view(np.uint64)))]
 
     def tested(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, node, n, rest = rows
@@ -147,26 +160,31 @@ def _pages(num: int, den: int):
         key, node, n, rest = (x[keep] for x in rows)
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         lens = np.diff(np.append(starts, len(key)))
-        keep = np.zeros(len(key), bool)
+        keep, pivot = np.zeros(len(key), bool), node.copy()
         two = starts[lens == 2]
-        fits = (num + den) * np.minimum(rest[two], rest[two + 1]) >= num * (n[two] + n[two + 1])
-        two = two[fits]
+        two = two[(num + den) * np.minimum(rest[two], rest[two + 1]) >= num * (n[two] + n[two + 1])]
         keep[two] = keep[two + 1] = True
+        first = mixed(node[two].view(np.uint64)) < mixed(node[two + 1].view(np.uint64))
+        pivot[two] = pivot[two + 1] = np.where(first, node[two], node[two + 1])
         for a, m in zip(starts[lens > 2].tolist(), lens[lens > 2].tolist(), strict=True):
             page = slice(a, a + m)
             if m > LARGE:
                 keep[page] = True
+                pivot[page] = lowest(node[page])
                 continue
-            r, s = rest[page], n[page]
+            by = a + np.argsort(mixed(node[page].view(np.uint64)))
+            r, s = rest[by], n[by]
             fits = (num + den) * np.minimum(r[:, None], r) >= num * (s[:, None] + s)
             np.fill_diagonal(fits, False)
-            keep[page] = fits.any(axis=1)
+            keep[by] = fits.any(axis=1)
+            np.fill_diagonal(fits, True)
+            pivot[by] = node[by[fits.argmax(axis=1)]]
         if keep.any():
-            yield told(key[keep], node[keep], n[keep], rest[keep])
+            yield told(key[keep], node[keep], n[keep], rest[keep], pivot[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        hot: tuple[int, int] | None = None  # a page that was too large to hold: key, last node told
+        hot: tuple[int, int, int] | None = None  # a page that was too large to hold: key, last node told, pivot
         for batch in batches:
             rows = [np.asarray(batch.column(i)) for i in range(4)]
             if not len(rows[0]):
@@ -180,8 +198,8 @@ def _pages(num: int, den: int):
                 new[1:] = node[1:] != node[:-1]
                 new &= node > hot[1]
                 if new.any():
-                    yield told(key[new], node[new], n[new], rest[new])
-                    hot = (hot[0], int(node[-1]))
+                    yield told(key[new], node[new], n[new], rest[new], np.full(int(new.sum()), hot[2]))
+                    hot = (hot[0], int(node[-1]), hot[2])
                 rows = [x[mine:] for x in rows]
                 if not len(rows[0]):
                     held = None
@@ -195,7 +213,7 @@ def _pages(num: int, den: int):
                 new = np.concatenate(([True], held[1][1:] != held[1][:-1]))
                 held = [x[new] for x in held]
             if len(held[0]) > 100 * LARGE:
-                hot = (int(held[0][0]), int(held[1][-1]))
+                hot = (int(held[0][0]), int(held[1][-1]), int(lowest(held[1])))
                 yield from tested(held)
                 held = None
         if held is not None:
@@ -210,7 +228,7 @@ def count_vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
 
 
 def _sets(n: int, bloom):
-    """(doc, node, size, packed set, point) of the documents that the filter lets through."""
+    """(doc, node, packed set) of the documents that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bloom.value
@@ -225,11 +243,9 @@ def _sets(n: int, bloom):
                     [
                         rows.column("doc_id").cast(pa.int64()),
                         pa.array([_identity(s) for s in sets], pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_packed(s) for s in sets], pa.binary()),
-                        pa.array([count_vector(s).tobytes() for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "node", "n", "shingles", "point"],
+                    ["doc_id", "node", "shingles"],
                 )
 
     return run
@@ -245,6 +261,40 @@ def _unpacked(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _bounded(num: int, den: int):
+    """Of rows (a, b, points and sizes of both), the pairs whose summed coordinate minima allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, GROUPS) for k in (2, 3))
+                m, n = (np.asarray(batch.column(k)).astype(np.int64) for k in (4, 5))
+                over = np.minimum(m - p.sum(axis=1, dtype=np.int64), n - q.sum(axis=1, dtype=np.int64))
+                most = np.minimum(p, q).sum(axis=1, dtype=np.int64) + over
+                yield batch.select(["a", "b"]).filter(pa.array((num + den) * most >= num * (m + n)))
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """Stretches of rows sorted by their first `keys` columns that agree in these."""
+    held, current = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(k)) for k in range(keys)]
+        starts = np.concatenate(([0], np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols], axis=0)) + 1))
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            mine = tuple(int(x[s]) for x in cols)
+            if held and mine != current:
+                yield held
+                held = []
+            current = mine
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield held
+
+
 def _verified(num: int, den: int):
     """Of rows (a, b, set of a, set of b), those whose sets are similar enough."""
 
@@ -270,9 +320,10 @@ def _counted(num: int, den: int):
     """
 
     def compared(page):
-        side, node, copies, sets = (np.concatenate(x) for x in zip(*page, strict=True))
+        side, node, copies = (np.concatenate([np.asarray(x.column(k)) for x in page]) for k in (3, 4, 5))
+        sets = [b for x in page for b in x.column(6).to_pylist()]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = not len(right)
+        same = page[0].column(1)[0] == page[0].column(2)[0]
         right = left if same else right
         sets = [_unpacked(x) for x in sets]
         size = np.array([len(x) for x in sets])
@@ -301,110 +352,135 @@ def _counted(num: int, den: int):
         return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(linked[some])], ["node", "linked"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, current = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group, rows = [np.asarray(batch.column(k)) for k in range(3)], [np.asarray(batch.column(k)) for k in range(3, 6)]
-            sets = np.empty(batch.num_rows, object)
-            sets[:] = batch.column(6).to_pylist()
-            new = np.any([x[1:] != x[:-1] for x in group], axis=0)
-            starts = np.concatenate(([0], np.flatnonzero(new) + 1))
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
-                mine = tuple(int(x[s]) for x in group)
-                if page and mine != current:
-                    yield compared(page)
-                    page = []
-                current = mine
-                page.append((*(x[s:e] for x in rows), sets[s:e]))
-        if page:
+        for page in _groups(batches, 3):
             yield compared(page)
 
     return run
 
 
+def _packing(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """An order in which neighbours are alike: cut in halves along the size or the coordinate that spreads most, down to LEAF points."""
+    out, todo = [], [np.arange(len(sizes))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= LEAF:
+            out.append(at)
+            continue
+        some = points[at].astype(np.float32)
+        spread = some.var(axis=0)
+        widest = int(spread.argmax())
+        # a size counts for as much as all coordinates together
+        along = sizes[at] if sizes[at].var() > spread.sum() else some[:, widest]
+        half = LEAF * max(1, round(len(at) / LEAF / 2))
+        by = at[np.argsort(along, kind="stable")]
+        todo += [by[half:], by[:half]]
+    return np.concatenate(out)
+
+
 class RTree:
-    """A packed R-tree over the points of one page, in order of size: leaves of LEAF points under boxes.
+    """A packed R-tree over points: leaves of LEAF neighbours, FAN boxes under a box, up to one root.
 
-    Boxes and a first test of points use sums of COARSE neighbouring
-    coordinates, points that pass are tested on all.
+    A box keeps its upper corner (sums of COARSE neighbouring coordinates), the
+    bounds of its sizes and rests and, where all its points have the same
+    label, that label. A search goes down from the root by all boxes that may
+    hold a partner; points are tested on the coarse, then on all coordinates.
     """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rests: np.ndarray):
-        self.points, self.sizes, self.labels, self.rests = points, sizes, labels, rests
-        self.rough = points.reshape(len(points), -1, COARSE).sum(axis=2, dtype=np.uint16)
-        self.over = sizes - points.sum(axis=1, dtype=np.int64)  # shingles that the points don't count
-        self.at = np.arange(0, len(points), LEAF)
-        self.upper = np.maximum.reduceat(self.rough, self.at, axis=0)
-        self.most = np.maximum.reduceat(self.over, self.at)
-        self.low, self.high = np.minimum.reduceat(sizes, self.at), np.maximum.reduceat(sizes, self.at)
-        one, other = np.minimum.reduceat(labels, self.at), np.maximum.reduceat(labels, self.at)
-        self.only, self.pure = one, one == other
-
-    def partners(self, i: int, num: int, den: int) -> np.ndarray:
-        """Points with another label than point i whose bounds allow (num + den) * overlap >= num * (size + size of i)."""
-        size, label, over = self.sizes[i], self.labels[i], self.over[i]
-
-        def bound(uppers, point, most):
-            return np.minimum(uppers, point).sum(axis=1, dtype=np.int64) + np.minimum(most, over)
-
-        boxes = (den * self.high >= num * size) & (num * self.low <= den * size) & ~(self.pure & (self.only == label))
-        boxes &= (num + den) * bound(self.upper, self.rough[i], self.most) >= num * (size + self.low)
-        hits = [np.arange(a, min(a + LEAF, len(self.sizes))) for a in self.at[boxes]]
-        if not hits:
-            return np.zeros(0, np.int64)
-        at = np.concatenate(hits)
+        self.order = _packing(points.reshape(len(points), -1, COARSE).sum(axis=2, dtype=np.uint16), sizes)
+        self.points, self.sizes, self.labels, self.rests = (x[self.order] for x in (points, sizes, labels, rests))
+        self.rough = self.points.reshape(len(points), -1, COARSE).sum(axis=2, dtype=np.uint16)
+        self.over = self.sizes - self.points.sum(axis=1, dtype=np.int64)  # shingles that the points don't count
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        below = (self.rough, self.over, self.sizes, self.sizes, self.rests, self.labels, self.labels)
+        step = LEAF
+        while len(below[0]) > 1 or not self.levels:
+            at = np.arange(0, len(below[0]), step)
+            upper, over, low, high, rest, one, other = below
+            most, least = np.maximum.reduceat, np.minimum.reduceat
+            below = (most(upper, at, axis=0), most(over, at), least(low, at), most(high, at), most(rest, at), least(one, at), most(other, at))
+            self.levels.append(below)
+            step = FAN
+
+    def partners(self, size: int, label: int, rest: int, point: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Points of other labels whose bounds allow (num + den) * overlap >= num * (their size + size)."""
+        rough = point.reshape(-1, COARSE).sum(axis=1, dtype=np.uint16)
+        over = size - int(point.sum(dtype=np.int64))
+        at = np.zeros(1, np.int64)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            upper, most, low, high, rests, one, other = self.levels[depth]
+            need = num * (size + low[at])
+            fits = (den * high[at] >= num * size) & (num * low[at] <= den * size) & ~((one[at] == other[at]) & (one[at] == label))
+            fits &= (num + den) * np.minimum(rests[at], rest) >= need
+            at, need = at[fits], need[fits]
+            bound = np.minimum(upper[at], rough).sum(axis=1, dtype=np.int64) + np.minimum(most[at], over)
+            at = at[(num + den) * bound >= need]
+            if not len(at):
+                return at
+            step = FAN if depth else LEAF
+            at = (at[:, None] * step + np.arange(step)).ravel()
+            at = at[at < (len(self.levels[depth - 1][0]) if depth else len(self.sizes))]
         need = num * (size + self.sizes[at])
-        fits = (self.labels[at] != label) & ((num + den) * np.minimum(self.rests[at], self.rests[i]) >= need)
+        fits = (self.labels[at] != label) & ((num + den) * np.minimum(self.rests[at], rest) >= need)
+        fits &= (den * self.sizes[at] >= num * size) & (num * self.sizes[at] <= den * size)
         at, need = at[fits], need[fits]
-        for points in (self.rough, self.points):
-            fits = (num + den) * bound(points[at], points[i], self.over[at]) >= need
+        for points, mine in ((self.rough, rough), (self.points, point)):
+            bound = np.minimum(points[at], mine).sum(axis=1, dtype=np.int64) + np.minimum(self.over[at], over)
+            fits = (num + den) * bound >= need
             at, need = at[fits], need[fits]
-        return at
+        return self.order[at]
 
 
 def _candidates(num: int, den: int):
-    """From rows (key, node, n, rest, label, point) sorted by key and size: pairs of different labels that their bounds allow."""
+    """From rows (key, i, j, side, node, n, rest, label, point) sorted by key, i and j: pairs of different labels that their bounds allow.
+
+    Sets of side 0 are looked up among those of side 1, or among each other where i = j.
+    """
+
+    def pairs(page):
+        side, node, size, rest, label = (np.concatenate([np.asarray(x.column(k)) for x in page]).astype(np.int64) for k in range(3, 8))
+        names, counts = np.unique(label, return_counts=True)
+        if len(names) < 2:
+            return
+        point = np.frombuffer(b"".join(b for x in page for b in x.column(8).to_pylist()), np.uint8).reshape(len(node), -1)
+        mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if page[0].column(1)[0] == page[0].column(2)[0]:  # of two labels at least one isn't the page's most frequent
+            theirs, mine = mine, np.flatnonzero(label != names[counts.argmax()])
+        if not len(mine) or not len(theirs):
+            return
+        if len(mine) * len(theirs) <= 4 * LEAF * LEAF:  # a root of few leaves: all at once
+            p, q = (x.ravel() for x in np.broadcast_arrays(mine[:, None], theirs))
+            need = num * (size[p] + size[q])
+            fits = (label[p] != label[q]) & ((num + den) * np.minimum(rest[p], rest[q]) >= need)
+            fits &= (den * size[q] >= num * size[p]) & (num * size[q] <= den * size[p])
+            p, q, need = p[fits], q[fits], need[fits]
+            over = size - point.sum(axis=1, dtype=np.int64)
+            bound = np.minimum(point[p], point[q]).sum(axis=1, dtype=np.int64) + np.minimum(over[p], over[q])
+            fits = (num + den) * bound >= need
+            yield node[p[fits]], node[q[fits]]
+            return
+        tree = RTree(point[theirs], size[theirs], label[theirs], rest[theirs])
+        for i in mine.tolist():
+            found = tree.partners(int(size[i]), int(label[i]), int(rest[i]), point[i], num, den)
+            yield np.full(len(found), node[i]), node[theirs[found]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(page):
-            node, size, rest, label, point = (np.concatenate(x) for x in zip(*page, strict=True))
-            # of two labels at least one isn't the page's most frequent
-            names, counts = np.unique(label, return_counts=True)
-            if len(names) < 2:
-                return
-            tree = RTree(point, size, label, rest)
-            for i in np.flatnonzero(label != names[counts.argmax()]).tolist():
-                for j in tree.partners(i, num, den):
-                    pair = (int(min(node[i], node[j])), int(max(node[i], node[j])))
-                    if pair not in told:
-                        told.add(pair)
-                        yield pair
-
-        def flush(page):
-            out = list(pairs(page))
-            if len(told) > 1_000_000:
-                told.clear()
-            if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        told: set[tuple[int, int]] = set()
-        page, current = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, node, n, rest, label = (np.asarray(batch.column(i)).astype(np.int64) for i in range(5))
-            point = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(key), -1)
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
-                if page and key[s] != current:
-                    yield from flush(page)
-                    page = []
-                current = key[s]
-                page.append((node[s:e], n[s:e], rest[s:e], label[s:e], point[s:e]))
-        if page:
-            yield from flush(page)
+        def told():
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in both], ["a", "b"])
+
+        found, n = [], 0
+        for page in _groups(batches, 3):
+            for a, b in pairs(page):
+                if len(a):
+                    found.append((a, b))
+                    n += len(a)
+            if n > 100_000:
+                yield told()
+                found, n = [], 0
+        if found:
+            yield told()
 
     return run
 
@@ -424,6 +500,17 @@ def _bloom(spark: SparkSession, ids: DataFrame):
     return spark.sparkContext.broadcast(words)
 
 
+def _dealt(rows: DataFrame, group: str, sizes: DataFrame, block: int) -> DataFrame:
+    """rows of the groups in sizes (group, c), dealt into blocks: each row goes to all pairs (i, j) of its block and another, as side 0 or 1."""
+    salted = sizes.select(group, F.ceil(F.col("c") / block).alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    h = F.xxhash64("node")
+    out = rows.withColumn("salt", F.pmod(h, F.lit(SALTS)).cast("int")).join(salted, [group, "salt"])
+    out = out.withColumn("mine", F.pmod(F.floor(h / SALTS), F.col("blocks")))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    out = out.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    return out.withColumn("side", (F.col("mine") > F.col("other")).cast("int"))
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies, n_links) for each row of docs (doc_id, text).
 
@@ -438,7 +525,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     """
     spark = shipped(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    scan = written(docs.mapInArrow(_scan(n), "a long, b long, node long"), "shingles")
+    scan = written(docs.mapInArrow(_scan(n), "a long, b long, node long, point binary"), "shingles")
     rows = scan.where("node is not null").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "node")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
     hot = (
@@ -452,69 +539,75 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     keys = keys.select("node", "n", F.posexplode("keys").alias("at", "key"))
     keys = keys.select("key", "node", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("at")).cast("int").alias("rest"))
     pages = keys.repartition("key").sortWithinPartitions("key", "node")
-    pages = written(pages.mapInArrow(_pages(num, den), "key long, node long, n int, rest int"), "pages")
-
-    known = written(pages.select("node").distinct().join(nodes.select("node", "first"), "node"), "known")
-    bloom = _bloom(spark, known.select("first"))
-    sets = docs.mapInArrow(_sets(n, bloom), "doc_id long, node long, n long, shingles binary, point binary")
-    sets = sets.drop("n").join(known, "node").where("doc_id = first")
-    sets = written(sets.dropDuplicates(["node"]).select("node", "shingles", "point"), "sets")
+    pages = written(pages.mapInArrow(_pages(num, den), "key long, node long, n int, rest int, pivot long"), "pages")
+    hot.unpersist()
+
+    known = pages.select("node").distinct().join(nodes.select("node", "first"), "node")
+    points = scan.where("b > 0").select(F.col("a").alias("first"), "node", F.col("b").alias("n"), "point")
+    known = written(points.join(known, ["node", "first"]).dropDuplicates(["node"]), "known")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes in some (node, first), made from their texts."""
+        bloom = _bloom(spark, some.select("first"))
+        sets = docs.mapInArrow(_sets(n, bloom), "doc_id long, node long, shingles binary")
+        sets = sets.join(some.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"])
+        sets = written(sets.dropDuplicates(["node"]).select("node", "shingles"), "sets")
+        bloom.unpersist()
+        return sets
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
-        mine = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        theirs = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.join(mine, "a").join(theirs, "b").select("a", "b", "x", "y")
-        return written(both.mapInArrow(_verified(num, den), "a long, b long"), "links")
-
-    def labelled() -> DataFrame:
-        """The pages of two components or more, with a label for each row's."""
-        rows = pages.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        torn = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        return rows.join(torn, "key", "left_semi")
-
-    # Hang near copies together first, one verified pair for each set and round: it and the pivot that it shares most
-    # pages with. A page's pivot is first the set with the most company in all its pages, then one by chance.
-    company = pages.join(pages.groupBy("key").agg(F.count("*").alias("c")), "key").groupBy("node").agg(F.sum("c").alias("w"))
-    links, label = None, spark.createDataFrame([], "node long, component long")
-    for turn in range(HANGING_ROUNDS):
-        members = (labelled() if turn else pages.withColumn("label", F.col("node"))).select("key", "node", "label")
-        members = members.withColumn("w", F.xxhash64("node", "key", F.lit(turn))) if turn else members.join(company, "node")
-        pivots = members.groupBy("key").agg(F.max(F.struct("w", F.col("node").alias("b"), F.col("label").alias("to"))).alias("p"))
-        hung = members.drop("w").join(pivots.select("key", "p.*"), "key").where("label <> to")
-        hung = hung.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("c"), F.max("w").alias("w"))
-        hung = hung.groupBy("a").agg(F.max(F.struct("c", "w", "b")).alias("at")).select("a", "at.b")
-        new = verified(hung)
-        links = links.union(new) if links is not None else new
-        label = written(connected_components(links), "labels")
-
-    # then whatever pairs of different components the trees let through
-    torn = labelled().join(sets.select("node", "point"), "node").select("key", "node", "n", "rest", "label", "point")
-    torn = torn.repartition("key").sortWithinPartitions("key", "n", "node")
-    pairs = torn.mapInArrow(_candidates(num, den), "a long, b long").distinct()
-    links = links.union(verified(pairs))
-    label = written(connected_components(links), "labels")
-
-    nodes = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
+        pairs = written(pairs, "pairs")
+        some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = sets_of(known.select("node", "first").join(some, "node"))
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        links = written(both.mapInArrow(_verified(num, den), "a long, b long"), "links")
+        dropped(pairs, sets)
+        return links
+
+    def components(links: DataFrame) -> DataFrame:
+        """(node, label, component_id): nodes with links; a label is that of the component's smallest first document."""
+        name = known.select("node", F.struct("first", "node").alias("name"))
+        edges = links.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        found = connected_components(edges)
+        found = found.union(found.select("component", "component").distinct())
+        return found.select(F.col("node.node").alias("node"), F.col("component.node").alias("label"), F.col("component.first").alias("component_id"))
+
+    # Hang near copies together first: a set and the pivots that it shares most pages with.
+    tries = pages.where("pivot <> node").repartition("node").groupBy("node", "pivot").agg(F.count("*").alias("c"))
+    tries = tries.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "pivot")), False).alias("best"))
+    tries = tries.select(F.col("node").alias("a"), F.explode(F.slice("best", 1, PIVOTS)).alias("p")).select("a", F.col("p.pivot").alias("b"))
+    mine, theirs = known.select("node", "point", "n").toDF("a", "x", "m"), known.select("node", "point", "n").toDF("b", "y", "n")
+    tries = tries.join(mine, "a").join(theirs, "b").select("a", "b", "x", "y", "m", "n")
+    hung = verified(tries.mapInArrow(_bounded(num, den), "a long, b long"))
+    label = written(components(hung), "labels")
+
+    # Then whatever pairs of different components the trees let through.
+    rows_of = pages.drop("pivot").join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    torn = rows_of.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+    torn = _dealt(rows_of, "key", torn.select("key", "c"), PAGE_BLOCK).join(known.select("node", "point"), "node")
+    torn = torn.select("key", "i", "j", "side", "node", "n", "rest", "label", "point")
+    torn = torn.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    links = verified(torn.mapInArrow(_candidates(num, den), "a long, b long").distinct())
+    stars = label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    last = written(components(links.union(stars)), "labels")
+    dropped(label, hung, links, pages)
+
+    nodes = nodes.join(last, "node", "left").withColumn("component_id", F.coalesce("component_id", "first"))
     if count_links:
-        members = sets.select("node", "shingles").join(nodes.select("node", "component", "n_copies"), "node")
-        blocks = members.groupBy("component").agg(F.count("*").alias("c")).where("c > 1")
-        members = members.join(blocks.select("component", F.ceil(F.col("c") / BLOCK).alias("blocks")), "component")
-        members = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        members = members.select(
-            "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-            (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "n_copies", "shingles",
-        )
-        members = members.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+        members = last.join(known.select("node", "first"), "node").join(nodes.select("node", "n_copies"), "node")
+        sets = sets_of(members.select("node", "first"))
+        sizes = last.groupBy("label").agg(F.count("*").alias("c"))
+        members = _dealt(members.select("node", "label", "n_copies").join(sets, "node"), "label", sizes, BLOCK)
+        members = members.select("label", "i", "j", "side", "node", "n_copies", "shingles")
+        members = members.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
         linked = members.mapInArrow(_counted(num, den), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
         nodes = nodes.join(written(linked, "linked"), "node", "left")
         nodes = nodes.withColumn("n_links", F.col("n_copies") - 1 + F.coalesce("linked", F.lit(0)))
+        dropped(sets)
+    dropped(known)
     counts = ["n_links"] * count_links
-    nodes = nodes.join(smallest, "component").select("node", "component_id", "n_copies", *counts)
-    for table in (pages, known, sets, links):
-        dropped(table)
+    nodes = nodes.select("node", "component_id", "n_copies", *counts)
     return rows.join(nodes, "node", "left").select(
         "doc_id",
         "n_shingles",

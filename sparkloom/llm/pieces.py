@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ._pool import Pool, gather
 from ._shared import shipped
-from ._text import lists, slices, span_hashes
+from ._text import lists, slices
 
 MARK = 0x2581  # stands for a space
 LITERAL = 0x110000  # stands for a mark that the text itself holds; it is spelt in bytes
@@ -213,7 +213,7 @@ class Model:
         opens[1:] |= alien[:-1]
         starts = np.flatnonzero(opens)
         ends = np.append(starts[1:], len(points))[: len(starts)]
-        ids, sizes = self.pool.ids(span_hashes(points, starts, ends), lambda which: self.viterbi(points, starts[which], ends[which]))
+        ids, sizes = self.pool.ids(points.astype(np.uint32), starts, ends, lambda which: self.viterbi(points, starts[which], ends[which]))
         total = np.concatenate(([0], np.cumsum(sizes)))
         return ids, np.diff(total[np.searchsorted(starts, offsets)])
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._pool import Pool, gather
 from ._shared import shipped, written
-from ._text import SPACES, runs, slices, span_hashes
+from ._text import SPACES, runs, slices
 
 MAGIC = b"RPG1"
 SHARD_IDS = 1 << 20
@@ -99,9 +99,8 @@ class Encoder:
                 base += len(flat)
             return gather(np.concatenate([x[1] for x in parts]), first, size)
 
-        # a unit's kind is part of its hash: an odd piece isn't taken for a pre-token of the same bytes
-        h = span_hashes(data, starts, ends) ^ odd.astype(np.uint64)
-        ids, sizes = self.pool.ids(h, make)
+        # an odd piece isn't taken for a pre-token of the same bytes
+        ids, sizes = self.pool.ids(data, starts, ends, make, odd)
         total = np.concatenate(([0], np.cumsum(sizes)))
         cuts = total[np.concatenate(([0], np.cumsum(per_row)))]
         return ids, np.diff(cuts)

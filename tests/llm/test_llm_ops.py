@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import imatch, langid, licenses, mixing, ngram_join, pieces, quality, repair, secrets, topk
+from sparkloom.llm import _pool, _text, imatch, langid, licenses, mixing, ngram_join, pieces, quality, repair, secrets, topk
 from sparkloom.llm.queries import tokenizer
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -148,13 +148,57 @@ def test_op1_rtree_bounds():
     size = np.array([len(s) for s in sets])
     tree = ngram_join.RTree(points, size, np.arange(150), size)
     for i in range(150):
-        found = set(tree.partners(i, 3, 4).tolist())
+        found = set(tree.partners(int(size[i]), i, int(size[i]), points[i], 3, 4).tolist())
         assert i not in found
         for j in set(range(150)) - {i}:
             common = len(np.intersect1d(sets[i], sets[j]))
             assert j in found or 4 * common < 3 * (size[i] + size[j] - common)
 
 
+# Two words of equal length whose power sums are equal modulo 2**64 whatever the (odd) base.
+TWINS = ["".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(4096)) for flip in (0, 1)]
+
+
+def test_unlike_spans_of_equal_power_sums(spark):
+    for n in (1024, 2048, 4096):
+        docs = spark.createDataFrame([(1, TWINS[0][:n]), (2, TWINS[1][:n]), (3, TWINS[0][:n])], "doc_id long, text string")
+        got = sorted((r.doc_id, r.component_id, r.n_copies) for r in ngram_join.ngram_jaccard_join(docs).collect())
+        assert got == [(1, 1, 2), (2, 2, 1), (3, 1, 2)]
+        assert all(r.exact for r in pieces.encode_pieces(docs, tokenizer("piece_bpe_32k.model")).collect())
+        check_tokens(docs, {1: TWINS[0][:n], 2: TWINS[1][:n], 3: TWINS[0][:n]})
+
+
+def test_pool_knows_spans_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(_pool, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    data = np.frombuffer(b"one two one three", np.uint8)
+    starts, ends = np.array([0, 4, 8, 12]), np.array([3, 7, 11, 17])
+    made = []
+
+    def make(which):
+        made.extend(which.tolist())
+        return np.array([100 + i for i in which.tolist()], np.int32), np.ones(len(which), np.int64)
+
+    pool = _pool.Pool()
+    for _ in range(2):
+        ids, _ = pool.ids(data, starts, ends, make)
+        assert ids.tolist() == [100, 101, 100, 103]
+    assert made == [0, 1, 3]
+
+
+def test_span_hashes_differ(monkeypatch):
+    rng = random.Random(3)
+    for longest in (7, 8, 9, 16, 17, 300):
+        spans = list({bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, longest + 1))) for _ in range(400)})
+        data = np.frombuffer(b" ".join(spans * 2), np.uint8)
+        ends = np.cumsum([len(s) + 1 for s in spans * 2]) - 1
+        starts = ends - [len(s) for s in spans * 2]
+        h = _text.span_hashes(data, starts, ends)
+        assert (h[: len(spans)] == h[len(spans) :]).all() and len(set(h.tolist())) == len(spans)
+        order = np.arange(len(h))
+        assert _text.equal_spans(data, starts, ends, np.roll(order, len(spans))).all()
+        assert not _text.equal_spans(data, starts, ends, np.concatenate((np.roll(order[: len(spans)], 1), order[len(spans) :])))[: len(spans)].any()
+
+
 def test_op2(spark, odd, none):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     files = [
@@ -336,23 +380,29 @@ def test_op6(spark, docs, odd, none):
             assert r.copies == (whole + (upto <= rest) if quota[k] else 0) and r.n_tokens == len(words(r.text))
 
 
-def test_op7(spark, docs, odd, none):
+def check_tokens(df, texts, shards=None):
+    """texts: [(doc_id, text)] or a dict, as the library encodes them."""
     from tokenizers import Tokenizer
 
     path = tokenizer("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
+    got = sorted(map(tuple, repair.read_token_digests(shards or repair.write_token_shards(df, path)).collect()), key=lambda r: r[1])
+    want, start = [], 0
+    for doc_id, text in sorted(texts.items() if isinstance(texts, dict) else texts):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 1]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+
+
+def test_op7(spark, docs, odd, none):
+    path = tokenizer("word_bpe_49k.json")
     strange = ["It's DON'T we'LL  İstanbul 'S", "<|startoftext|> a<|endoftext|>b <|x|>", "naïve_x 3,4 don''t ١٢ ½", "Σας ΣΑΣ é", "a\u0085b\x1cc", 'say "x" \'"\' "']
     more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(strange)], "doc_id long, text string")
     rows = odd.select("doc_id", "text").unionByName(more).unionByName(docs.selectExpr("doc_id + 5000", "text").toDF("doc_id", "text").limit(60))
     shards = repair.write_token_shards(rows, path, shard_ids=5000)
     assert shards.count() > 3
-    got = sorted(map(tuple, repair.read_token_digests(shards).collect()), key=lambda r: r[1])
-    want, start = [], 0
-    for r in sorted((r for r in rows.collect() if r.doc_id is not None), key=lambda r: (r.doc_id, r.text or "")):
-        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 1]
-        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert got == want
+    check_tokens(rows, [(r.doc_id, r.text or "") for r in rows.collect() if r.doc_id is not None], shards)
     assert repair.read_token_digests(repair.write_token_shards(none, path)).count() == 0
 
 
