@@ -136,6 +136,19 @@ def _prefixes(n: int, num: int, den: int, hot):
     return run
 
 
+def _pairs_within(starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places within each stretch, side by side; for short stretches only."""
+    row = np.repeat(starts, lens) + _count_up(lens)
+    more = np.repeat(starts + lens, lens) - row - 1
+    p = np.repeat(row, more)
+    return p, p + 1 + _count_up(more)
+
+
+def _count_up(lens: np.ndarray) -> np.ndarray:
+    """0 up to each length, side by side."""
+    return np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+
+
 def _pages(num: int, den: int):
     """From rows (key, node, n, rest) sorted by key and node: those that another row of their page may link with, and a pivot.
 
@@ -144,11 +157,12 @@ def _pages(num: int, den: int):
     smaller rest; every linked pair has such a key, so rows without a partner
     that this bound allows can go. A row's pivot is the first set in order of
     mixed nodes, itself included, that the bound allows. A page of over LARGE
-    rows isn't tested: all its rows stay, with one pivot for a stretch of them.
+    rows isn't tested: all its rows stay, marked large, with one pivot for a
+    stretch of them.
     """
 
-    def told(key, node, n, rest, pivot):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, n, rest, pivot)], ["key", "node", "n", "rest", "pivot"])
+    def told(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "node", "n", "rest", "pivot", "large"])
 
     def lowest(node):
         return node[np.argmin(mixed(node.view(np.uint64)))]
@@ -160,27 +174,34 @@ def _pages(num: int, den: int):
         key, node, n, rest = (x[keep] for x in rows)
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         lens = np.diff(np.append(starts, len(key)))
-        keep, pivot = np.zeros(len(key), bool), node.copy()
-        two = starts[lens == 2]
-        two = two[(num + den) * np.minimum(rest[two], rest[two + 1]) >= num * (n[two] + n[two + 1])]
-        keep[two] = keep[two + 1] = True
-        first = mixed(node[two].view(np.uint64)) < mixed(node[two + 1].view(np.uint64))
-        pivot[two] = pivot[two + 1] = np.where(first, node[two], node[two + 1])
-        for a, m in zip(starts[lens > 2].tolist(), lens[lens > 2].tolist(), strict=True):
+        keep, pivot, large = np.zeros(len(key), bool), node.copy(), np.zeros(len(key), bool)
+        by = np.argsort(mixed(node.view(np.uint64)))
+        rank = np.zeros(len(key), np.int64)
+        rank[by] = np.arange(len(key))
+        best = rank.copy()
+        few = (lens > 1) & (lens <= LEAF)
+        p, q = _pairs_within(starts[few], lens[few])
+        fits = (num + den) * np.minimum(rest[p], rest[q]) >= num * (n[p] + n[q])
+        p, q = p[fits], q[fits]
+        keep[p] = keep[q] = True
+        np.minimum.at(best, p, rank[q])
+        np.minimum.at(best, q, rank[p])
+        pivot[keep] = node[by[best[keep]]]
+        for a, m in zip(starts[lens > LEAF].tolist(), lens[lens > LEAF].tolist(), strict=True):
             page = slice(a, a + m)
             if m > LARGE:
-                keep[page] = True
+                keep[page] = large[page] = True
                 pivot[page] = lowest(node[page])
                 continue
-            by = a + np.argsort(mixed(node[page].view(np.uint64)))
-            r, s = rest[by], n[by]
+            at = a + np.argsort(rank[page])
+            r, s = rest[at], n[at]
             fits = (num + den) * np.minimum(r[:, None], r) >= num * (s[:, None] + s)
             np.fill_diagonal(fits, False)
-            keep[by] = fits.any(axis=1)
+            keep[at] = fits.any(axis=1)
             np.fill_diagonal(fits, True)
-            pivot[by] = node[by[fits.argmax(axis=1)]]
+            pivot[at] = node[at[fits.argmax(axis=1)]]
         if keep.any():
-            yield told(key[keep], node[keep], n[keep], rest[keep], pivot[keep])
+            yield told(*(x[keep] for x in (key, node, n, rest, pivot, large)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -198,7 +219,8 @@ def _pages(num: int, den: int):
                 new[1:] = node[1:] != node[:-1]
                 new &= node > hot[1]
                 if new.any():
-                    yield told(key[new], node[new], n[new], rest[new], np.full(int(new.sum()), hot[2]))
+                    many = int(new.sum())
+                    yield told(key[new], node[new], n[new], rest[new], np.full(many, hot[2]), np.ones(many, bool))
                     hot = (hot[0], int(node[-1]), hot[2])
                 rows = [x[mine:] for x in rows]
                 if not len(rows[0]):
@@ -437,48 +459,76 @@ def _candidates(num: int, den: int):
     Sets of side 0 are looked up among those of side 1, or among each other where i = j.
     """
 
-    def pairs(page):
-        side, node, size, rest, label = (np.concatenate([np.asarray(x.column(k)) for x in page]).astype(np.int64) for k in range(3, 8))
-        names, counts = np.unique(label, return_counts=True)
-        if len(names) < 2:
-            return
-        point = np.frombuffer(b"".join(b for x in page for b in x.column(8).to_pylist()), np.uint8).reshape(len(node), -1)
+    def fitting(p, q, label, size, rest):
+        need = num * (size[p] + size[q])
+        fits = (label[p] != label[q]) & ((num + den) * np.minimum(rest[p], rest[q]) >= need)
+        fits &= (den * size[q] >= num * size[p]) & (num * size[q] <= den * size[p])
+        return p[fits], q[fits]
+
+    def at_once(starts, lens, node, size, rest, label, point):
+        """The same for many pages of one leaf each."""
+        p, q = fitting(*_pairs_within(starts, lens), label, size, rest)
+        for k in range(0, len(p), 16384):
+            a, b = p[k : k + 16384], q[k : k + 16384]
+            over = np.minimum(size[a] - point[a].sum(axis=1, dtype=np.int64), size[b] - point[b].sum(axis=1, dtype=np.int64))
+            bound = np.minimum(point[a], point[b]).sum(axis=1, dtype=np.int64) + over
+            fits = (num + den) * bound >= num * (size[a] + size[b])
+            yield node[a[fits]], node[b[fits]]
+
+    def by_tree(same, side, node, size, rest, label, point):
         mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if page[0].column(1)[0] == page[0].column(2)[0]:  # of two labels at least one isn't the page's most frequent
+        names, counts = np.unique(label, return_counts=True)
+        if same:  # of two labels at least one isn't the page's most frequent
             theirs, mine = mine, np.flatnonzero(label != names[counts.argmax()])
-        if not len(mine) or not len(theirs):
-            return
-        if len(mine) * len(theirs) <= 4 * LEAF * LEAF:  # a root of few leaves: all at once
-            p, q = (x.ravel() for x in np.broadcast_arrays(mine[:, None], theirs))
-            need = num * (size[p] + size[q])
-            fits = (label[p] != label[q]) & ((num + den) * np.minimum(rest[p], rest[q]) >= need)
-            fits &= (den * size[q] >= num * size[p]) & (num * size[q] <= den * size[p])
-            p, q, need = p[fits], q[fits], need[fits]
-            over = size - point.sum(axis=1, dtype=np.int64)
-            bound = np.minimum(point[p], point[q]).sum(axis=1, dtype=np.int64) + np.minimum(over[p], over[q])
-            fits = (num + den) * bound >= need
-            yield node[p[fits]], node[q[fits]]
+        if len(names) < 2 or not len(mine) or not len(theirs):
             return
         tree = RTree(point[theirs], size[theirs], label[theirs], rest[theirs])
         for i in mine.tolist():
             found = tree.partners(int(size[i]), int(label[i]), int(rest[i]), point[i], num, den)
             yield np.full(len(found), node[i]), node[theirs[found]]
 
+    def pairs(rows):
+        key, i, j, side, node, size, rest, label, point = rows
+        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        lens = np.diff(np.append(starts, len(key)))
+        few = (lens <= LEAF) & (i[starts] == j[starts])
+        yield from at_once(starts[few], lens[few], node, size, rest, label, point)
+        for s, n in zip(starts[~few].tolist(), lens[~few].tolist(), strict=True):
+            yield from by_tree(i[s] == j[s], *(x[s : s + n] for x in (side, node, size, rest, label, point)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told():
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in both], ["a", "b"])
 
-        found, n = [], 0
-        for page in _groups(batches, 3):
-            for a, b in pairs(page):
+        def whole(rows):
+            nonlocal found, n
+            for a, b in pairs(rows):
                 if len(a):
                     found.append((a, b))
                     n += len(a)
-            if n > 100_000:
-                yield told()
-                found, n = [], 0
+                if n > 100_000:
+                    yield told()
+                    found, n = [], 0
+
+        found, n = [], 0
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.asarray(batch.column(k)).astype(np.int64) for k in range(8)]
+            rows.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+            borders = np.flatnonzero(np.any([x[1:] != x[:-1] for x in rows[:3]], axis=0))
+            last = int(borders[-1]) + 1 if len(borders) else 0
+            if held and (last or any(x[0][-1] != y[0] for x, y in zip(zip(*held, strict=True), rows[:3], strict=False))):
+                yield from whole([np.concatenate(x) for x in zip(*held, [x[:last] for x in rows], strict=True)])
+                held = []
+            elif last:
+                yield from whole([x[:last] for x in rows])
+            held.append([x[last:] for x in rows])
+        if held:
+            yield from whole([np.concatenate(x) for x in zip(*held, strict=True)])
         if found:
             yield told()
 
@@ -539,7 +589,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     keys = keys.select("node", "n", F.posexplode("keys").alias("at", "key"))
     keys = keys.select("key", "node", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("at")).cast("int").alias("rest"))
     pages = keys.repartition("key").sortWithinPartitions("key", "node")
-    pages = written(pages.mapInArrow(_pages(num, den), "key long, node long, n int, rest int, pivot long"), "pages")
+    pages = written(pages.mapInArrow(_pages(num, den), "key long, node long, n int, rest int, pivot long, large boolean"), "pages")
     hot.unpersist()
 
     known = pages.select("node").distinct().join(nodes.select("node", "first"), "node")
@@ -584,8 +634,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
 
     # Then whatever pairs of different components the trees let through.
     rows_of = pages.drop("pivot").join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    torn = rows_of.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-    torn = _dealt(rows_of, "key", torn.select("key", "c"), PAGE_BLOCK).join(known.select("node", "point"), "node")
+    torn = rows_of.groupBy("key", "large").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+    few = rows_of.where("not large").join(torn.where("not large").select("key"), "key")
+    few = few.select("key", *(F.lit(0).cast("long").alias(x) for x in ("i", "j")), F.lit(0).alias("side"), "node", "n", "rest", "label")
+    many = _dealt(rows_of.where("large"), "key", torn.where("large").select("key", "c"), PAGE_BLOCK)
+    torn = few.union(many.select(*few.columns)).join(known.select("node", "point"), "node")
     torn = torn.select("key", "i", "j", "side", "node", "n", "rest", "label", "point")
     torn = torn.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = verified(torn.mapInArrow(_candidates(num, den), "a long, b long").distinct())
