@@ -6,38 +6,35 @@ from collections.abc import Callable
 
 import numpy as np
 
-from ._text import equal_spans, span_hashes
+from ._text import Eights, equal_spans, span_hashes
 
-SPANS, BYTES = 150_000, 8 << 20
+SPANS, BYTES = 500_000, 8 << 20
 
 
 class Pool:
-    """Spans are known by all their bytes; each has a run of ids in one growing array."""
+    """Spans are looked up by their hash and known by their bytes; each has a run of ids in one growing array."""
 
     def __init__(self, spans: int = SPANS, most: int = BYTES):
         self.spans, self.most = spans, most
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.bytes = 0
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.first = np.zeros(1 << 12, np.int64)
-        self.size = np.zeros(1 << 12, np.int64)
-
-    def _add(self, spans: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.at)
-        while n + len(spans) > len(self.first):
-            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.first[n : n + len(spans)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(spans)] = sizes
-        self.used += len(flat)
-        self.at.update(zip(spans, range(n, n + len(spans)), strict=True))
-        self.bytes += sum(map(len, spans))
+        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # in order of the hash
+        self.text, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # bytes of all slots, where each ends
+        self.flat, self.stops = np.zeros(0, np.int32), np.zeros(1, np.int64)  # the same for ids
+        self.eights = Eights(self.text)
+
+    def _add(self, hashes: np.ndarray, spans: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Hashes are in order and none is known."""
+        n = len(self.slot)
+        self.text = np.concatenate((self.text, np.frombuffer(b"".join(spans), np.uint8)))
+        self.eights = Eights(self.text)
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(s) for s in spans])))
+        self.flat = np.concatenate((self.flat, flat))
+        self.stops = np.concatenate((self.stops, self.stops[-1] + np.cumsum(sizes)))
+        at = np.searchsorted(self.hash, hashes)
+        self.hash = np.insert(self.hash, at, hashes)
+        self.slot = np.insert(self.slot, at, np.arange(n, n + len(hashes)))
 
     def ids(
         self,
@@ -49,41 +46,48 @@ class Pool:
     ) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order of the spans, ids per span); make(indices of unknown spans) gives their ids and sizes.
 
-        Equal bytes have equal ids, whatever their kinds (0 or 1) if these are given too.
+        Equal bytes have equal ids; where kinds (0 or 1) are given, equal bytes of one kind.
         """
+        eights, unit = Eights(data), data.itemsize
+        at, size = starts * unit, (ends - starts) * unit
         hashes = span_hashes(data, starts, ends)
         if kinds is not None:
-            hashes = hashes ^ kinds.astype(np.uint64)
-        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if not equal_spans(data, starts, ends, first[back]).all():  # two spans share a hash
-            first, back = _by_value(data, starts, ends, kinds)
-        if len(self.at) > self.spans or self.bytes > self.most:
-            self._clear()
-        raw, unit = data.tobytes(), data.itemsize
-        spans = [raw[a:b] for a, b in zip((starts[first] * unit).tolist(), (ends[first] * unit).tolist(), strict=True)]
+            hashes ^= kinds.astype(np.uint64)
+        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        alike = equal_spans(eights, at, size, eights, at[first[back]], size[first[back]])
         if kinds is not None:
-            spans = [s + b" " if k else s for s, k in zip(spans, kinds[first].tolist(), strict=True)]
-        get = self.at.get
-        where = np.fromiter((get(s, -1) for s in spans), np.int64, len(spans))
+            alike &= kinds == kinds[first[back]]
+        if not alike.all():  # unlike spans with one hash: each is made for itself
+            flat, sizes = make(np.arange(len(starts)))
+            return flat, sizes
+        if len(self.slot) > self.spans or len(self.text) > self.most:
+            self._clear()
+        where = np.full(len(unique), -1)
+        if len(self.hash):
+            place = np.minimum(np.searchsorted(self.hash, unique), len(self.hash) - 1)
+            slot = self.slot[place]
+            begin = self.ends[slot]
+            known = (self.hash[place] == unique) & self._same(eights, at[first], size[first], begin, self.ends[slot + 1] - begin, first, kinds)
+            where[known] = slot[known]
+            if ((self.hash[place] == unique) & ~known).any():  # a known hash of other bytes
+                self._clear()
+                return self.ids(data, starts, ends, make, kinds)
         new = np.flatnonzero(where < 0)
         if len(new):
-            n = len(self.at)
-            self._add([spans[i] for i in new.tolist()], *make(first[new]))
+            raw = eights.data
+            a, b = at[first[new]].tolist(), (at + size)[first[new]].tolist()
+            marks = [b"" if kinds is None else b"\1" if k else b"\0" for k in (kinds[first[new]].tolist() if kinds is not None else a)]
+            n = len(self.slot)
+            self._add(unique[new], [raw[i:j].tobytes() + m for i, j, m in zip(a, b, marks, strict=True)], *make(first[new]))
             where[new] = np.arange(n, n + len(new))
         where = where[back]
-        return gather(self.flat, self.first[where], self.size[where])
-
+        return gather(self.flat, self.stops[where], self.stops[where + 1] - self.stops[where])
 
-def _by_value(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """The first span of each value, and each span's place among these."""
-    known: dict[tuple[bytes, int], int] = {}
-    first, back = [], np.zeros(len(starts), np.int64)
-    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-        key = (data[a:b].tobytes(), 0 if kinds is None else int(kinds[i]))
-        back[i] = known.setdefault(key, len(known))
-        if back[i] == len(first):
-            first.append(i)
-    return np.array(first, np.int64), back
+    def _same(self, eights, at, size, begin, length, first, kinds) -> np.ndarray:
+        if kinds is None:
+            return equal_spans(eights, at, size, self.eights, begin, length)
+        mark = self.text[begin + length - 1] == kinds[first]
+        return mark & equal_spans(eights, at, size, self.eights, begin, length - 1)
 
 
 def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -68,10 +68,11 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Eights:
     """The bytes of an array, read eight at a time from any place; what lies behind a span's end reads as zeros."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, padded: bool = False):
+        """If padded, the last eight bytes of data only serve reading."""
         raw = np.ascontiguousarray(data).view(np.uint8)
-        self.data = np.concatenate((raw, np.zeros(8, np.uint8)))
-        self.words = np.ndarray((len(raw) + 1,), "<u8", self.data, 0, (1,))
+        self.data = raw if padded else np.concatenate((raw, np.zeros(8, np.uint8)))
+        self.words = np.ndarray((len(self.data) - 7,), "<u8", self.data, 0, (1,))
 
     def at(self, where: np.ndarray, left: np.ndarray) -> np.ndarray:
         out = self.words[where]
@@ -87,7 +88,7 @@ def _in_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each (non-empty) span of bytes or code points.
+    """A 64-bit hash of each span of bytes or code points.
 
     Eight bytes at a time are mixed into the state by a bijection; spans of
     more than LONG bytes have a cryptographic digest. Two spans collide by
@@ -109,15 +110,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
-def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Is span i the same as span others[i]?"""
-    eights = Eights(data)
-    at, size = _in_bytes(data, starts, ends)
-    same = size == size[others]
-    live = np.flatnonzero(same & (at != at[others]))
-    a, b, left = at[live], at[others[live]], size[live]
+def equal_spans(one: Eights, at: np.ndarray, size: np.ndarray, other: Eights, at_: np.ndarray, size_: np.ndarray) -> np.ndarray:
+    """Do the spans of two arrays, given by first bytes and sizes in bytes, hold the same bytes, one by one?"""
+    same = size == size_
+    live = np.flatnonzero(same)
+    a, b, left = at[live], at_[live], size[live]
     while len(live):
-        equal = eights.at(a, left) == eights.at(b, left)
+        equal = one.at(a, left) == other.at(b, left)
         same[live[~equal]] = False
         more = equal & (left > 8)
         live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8

@@ -2,8 +2,8 @@
 
 Documents in ascending doc_id order are encoded and cut into shards at document
 borders. In each shard frequent pairs of neighbouring ids are repeatedly
-replaced by nonterminals: every round counts all pairs and replaces its most
-frequent ones together, left to right where occurrences overlap. A shard stores
+replaced by nonterminals: every round counts all pairs and replaces the
+frequent ones together, the more frequent one where occurrences overlap. A shard stores
 its rules, the length that each nonterminal expands to, the remaining symbols
 and where each document's begin, so that one document (or one of its ids) is
 decoded without its neighbours.
@@ -31,8 +31,9 @@ from ._text import SPACES, runs, slices
 
 MAGIC = b"RPG1"
 SHARD_IDS = 1 << 20
-PAIRS, LEAST = 1024, 8
+LEAST = 8
 END = 1  # the id appended to each document; texts may hold it too
+_BUCKET_BITS = 20
 _BORDER = np.uint32(0xFFFFFFFF)  # stands for a document's end while pairs are replaced
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -148,40 +149,69 @@ def encoder(path: str) -> Encoder:
 
 
 def compress(symbols: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules as pairs): symbols from `first` on are nonterminals. Borders take no part in pairs. Ends when no pair stands LEAST times."""
-    symbols, rules = symbols.astype(np.uint32), []
-    buckets = 1 << 18
-    full = False  # look into all buckets, where the fullest hold no frequent pair
-    while len(symbols) >= 2:
-        a, b = symbols[:-1], symbols[1:]
-        h = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)
-        inner = (a != _BORDER) & (b != _BORDER)
-        counts = np.bincount(h, inner, buckets)
-        level = LEAST if full else max(LEAST, np.partition(counts, buckets - PAIRS)[buckets - PAIRS])
-        at = np.flatnonzero((counts >= level)[h] & inner)
+    """(symbols, rules as pairs): symbols from `first` on are nonterminals. Borders take no part in pairs.
+
+    A round counts the pairs in hashed buckets and replaces, of overlapping
+    occurrences, those whose bucket is fullest. A pair counted below LEAST
+    can't become frequent any more, so later rounds only look at the others
+    and at pairs with new symbols. When little is left to replace, the pairs
+    themselves are counted; the end is when none stands LEAST times.
+    """
+    symbols, rules, n_rules, exact = symbols.astype(np.uint32), [], 0, False
+    inner = symbols != _BORDER
+    at = np.flatnonzero(inner[:-1] & inner[1:])  # where the pairs begin that may be frequent
+    while len(at):
+        a, b = symbols[at], symbols[at + 1]
+        if exact:
+            _, bucket, counts = np.unique(a.astype(np.uint64) << np.uint64(32) | b, return_inverse=True, return_counts=True)
+        else:
+            bits = min(20, max(10, len(at).bit_length()))
+            bucket = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77 + 2 * n_rules)) >> np.uint32(32 - bits)).astype(np.int64)
+            counts = np.bincount(bucket, minlength=1 << bits)
+        weight = counts[bucket]
+        some = weight >= LEAST
+        at, a, b, bucket, weight = at[some], a[some], b[some], bucket[some], weight[some]
         if not len(at):
             break
-        pairs, which, n = np.unique(a[at].astype(np.uint64) << np.uint64(32) | b[at], return_inverse=True, return_counts=True)
-        rank = np.argsort(-n, kind="stable")
-        chosen = np.zeros(len(pairs), bool)
-        chosen[rank[:PAIRS]] = n[rank[:PAIRS]] >= LEAST
-        at, which = at[chosen[which]], which[chosen[which]]
-        # where occurrences overlap, every other one
-        opens = np.concatenate(([True], at[1:] != at[:-1] + 1))
-        since = np.arange(len(at)) - np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))
-        at, which = at[since % 2 == 0], which[since % 2 == 0]
-        used, which = np.unique(which, return_inverse=True)
-        if not len(used):
-            if level <= LEAST:
-                break
-            full = True
+        # of overlapping occurrences those of most weight; in a stretch of equal ones every other
+        joint = at[1:] == at[:-1] + 1
+        peak = np.ones(len(at), bool)
+        peak[1:] &= ~joint | (weight[1:] >= weight[:-1])
+        peak[:-1] &= ~joint | (weight[:-1] >= weight[1:])
+        top = np.flatnonzero(peak)
+        opens = np.concatenate(([True], at[top[1:]] != at[top[:-1]] + 1))
+        order = np.arange(len(top))
+        top = top[(order - np.maximum.accumulate(np.where(opens, order, 0))) % 2 == 0]
+        # one pair of each bucket
+        chosen = np.zeros(len(counts), np.int64)
+        chosen[bucket[top]] = top
+        pick = chosen[bucket[top]]
+        top = top[(a[pick] == a[top]) & (b[pick] == b[top])]
+        n = np.bincount(bucket[top], minlength=len(counts))
+        used = np.flatnonzero(n >= LEAST // 2)
+        if not exact and n[used].sum() <= len(symbols) // 256:
+            exact = True
             continue
-        full = False
-        symbols[at] = first + sum(map(len, rules)) + which
+        number = np.zeros(len(counts), np.uint32)
+        number[used] = first + n_rules + np.arange(len(used))
+        rules.append(np.stack((a[chosen[used]], b[chosen[used]]), axis=1))
+        n_rules += len(used)
+        new = number[bucket[top]]
+        where, new = at[top[new > 0]], new[new > 0]
+        symbols[where] = new
         keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols = symbols[keep]
-        rules.append(np.stack((pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32))
+        keep[where + 1] = False
+        live = np.zeros(len(symbols), bool)
+        live[at] = True
+        live[where] = True
+        symbols, live = symbols[keep], live[keep]
+        fresh = symbols >= first + n_rules - len(used)
+        fresh &= symbols != _BORDER
+        live |= fresh
+        live[:-1] |= fresh[1:]
+        live[:-1] &= (symbols[:-1] != _BORDER) & (symbols[1:] != _BORDER)
+        live[-1] = False
+        at = np.flatnonzero(live)
     return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
