@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import shipped
+from ._shared import shipped, written
 from ._text import ASCII_LOWER, runs, slices, span_hashes
 
 LEAST = 0.7
@@ -68,6 +68,15 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("CC0-1.0", "CC0-1.0"), ("MPL-2.0", "MPL-2.0"),
         ("BSD-3-Clause", "BSD-3-Clause"), ("ISC", "ISC"), ("Unlicense", "Unlicense"),
     )),
+    # the other paragraphs of short licences in whole
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD-3-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
 )
 
 # Short forms that name a licence by their words together: all of them must be there. So it is with SPDX lines.
@@ -199,60 +208,68 @@ class Scorer:
 
 
 @cache
-def _scorer() -> Scorer:
-    return Scorer()
+def _scorer(templates: tuple[tuple[str, str], ...]) -> Scorer:
+    return Scorer(templates)
 
 
-def license_scan(files: DataFrame) -> DataFrame:
+def license_scan(files: DataFrame, more: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """files (path, text, ...) without text, with own_license, own_score, is_license_file, license, inherited_from.
 
-    Null and empty texts have no licence of their own; a null path has no
-    directory and inherits nothing. Of a directory's licence files the one of
-    the highest cosine counts, then the licence that sorts first. The
-    directory's own licence file is nearest; inherited_from is its directory
-    ('' for the top), null where the licence is the file's own. Columns of
-    files with these names are replaced; repeated rows stay.
+    more are (licence, text) templates besides the built-in ones, such as whole
+    licence files. Null and empty texts have no licence of their own; a null
+    path has no directory and inherits nothing. Of a directory's licence files
+    the one of the highest cosine counts, then the licence that sorts first.
+    The directory's own licence file is nearest; inherited_from is its
+    directory ('' for the top), null where the licence is the file's own.
+    Columns of files with these names are replaced, others stay whatever their
+    names; repeated rows stay. The scan reads each text once; its result is
+    written to the shared folder.
     """
     shipped(files.sparkSession)
     files = files.drop("own_license", "own_score", "is_license_file", "license", "inherited_from")
     keep = [c for c in files.columns if c != "text"]
+    mark = "_"
+    while any(c.lower().endswith(mark) for c in keep):
+        mark += "_"
+    share, folder, up, given = (f"{x}{mark}" for x in ("share", "folder", "up", "given"))
+    templates = TEMPLATES + TITLES + tuple(more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, offsets, data in slices(batch, "text"):
-                name, score, share = zip(*_scorer().scan(data, offsets), strict=True)
+                name, score, part = zip(*_scorer(templates).scan(data, offsets), strict=True)
                 rows = rows.select(keep).append_column("own_license", pa.array(name, pa.string()))
-                yield rows.append_column("own_score", pa.array(score, pa.float64())).append_column("share", pa.array(share, pa.float64()))
+                yield rows.append_column("own_score", pa.array(score, pa.float64())).append_column(share, pa.array(part, pa.float64()))
 
-    schema = files.select(*keep, F.lit("").alias("own_license"), F.lit(0.0).alias("own_score"), F.lit(0.0).alias("share")).schema
+    schema = files.select(*keep, F.lit("").alias("own_license"), F.lit(0.0).alias("own_score"), F.lit(0.0).alias(share)).schema
     for f in schema.fields:
         f.nullable = True
-    found = files.mapInArrow(run, schema)
-    named = F.coalesce(F.col("path").rlike(NAMED), F.lit(False)) | (F.col("share") >= 0.5)
-    found = found.withColumn("is_license_file", F.col("own_license").isNotNull() & named).drop("share")
-    found = found.withColumn("_dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    found = written(files.mapInArrow(run, schema), "licenses")
+    named = F.coalesce(F.col("path").rlike(NAMED), F.lit(False)) | (F.col(share) >= 0.5)
+    found = found.withColumn("is_license_file", F.col("own_license").isNotNull() & named).drop(share)
+    found = found.withColumn(folder, F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
 
     # nearest licence of every directory; there are far fewer directories than files
-    given = found.where("is_license_file and _dir is not null").groupBy(F.col("_dir").alias("_up"))
-    given = given.agg(F.min(F.struct((-F.col("own_score")).alias("s"), "own_license")).getField("own_license").alias("_given"))
-    dirs = found.where("_dir is not null").groupBy("_dir").agg(F.count("*").alias("n"))
-    steps = F.split("_dir", "/")
+    notices = found.where(F.col("is_license_file") & F.col(folder).isNotNull()).groupBy(F.col(folder).alias(up))
+    notices = notices.agg(F.min(F.struct((-F.col("own_score")).alias("s"), "own_license")).getField("own_license").alias(given))
+    dirs = found.where(F.col(folder).isNotNull()).select(folder).distinct()
+    steps = F.split(folder, "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
-    dirs = dirs.select("_dir", F.explode(F.array_distinct(ups)).alias("_up")).join(given, "_up")
-    depth = F.length("_up")
-    dirs = dirs.groupBy("_dir").agg(F.max(F.struct(depth.alias("d"), "_up", "_given")).alias("at")).select("_dir", "at._up", "at._given")
+    dirs = dirs.select(folder, F.explode(F.array_distinct(ups)).alias(up)).join(notices, up)
+    dirs = dirs.groupBy(folder).agg(F.max(F.struct(F.length(up).alias("d"), up, given)).alias("at"))
+    dirs = dirs.select(folder, F.col("at").getField(up).alias(up), F.col("at").getField(given).alias(given))
     mine = F.col("own_license").isNotNull()
-    return found.join(dirs, "_dir", "left").select(
-        *keep,
+    return found.join(dirs, folder, "left").select(
+        *(F.col(f"`{c}`") for c in keep),
         "own_license",
         "own_score",
         "is_license_file",
-        F.coalesce("own_license", "_given").alias("license"),
-        F.when(~mine, F.col("_up")).alias("inherited_from"),
+        F.coalesce("own_license", given).alias("license"),
+        F.when(~mine, F.col(up)).alias("inherited_from"),
     )
 
 
 def document_path() -> Column:
-    """Where a document lies, by a rule: source, language, fifty documents to a folder."""
+    """Where a document lies, by a rule: source, language, fifty documents to a folder; null without doc_id. A null step is left out."""
     folder = F.floor(F.col("doc_id") / 50).cast("string")
-    return F.concat_ws("/", "source", "lang", folder, F.col("doc_id").cast("string"))
+    return F.when(F.col("doc_id").isNotNull(), F.concat_ws("/", "source", "lang", folder, F.col("doc_id").cast("string")))

@@ -180,9 +180,14 @@ def test_pool_knows_spans_by_their_bytes(monkeypatch):
 
     pool = _pool.Pool()
     for _ in range(2):
-        ids, _ = pool.ids(data, starts, ends, make)
-        assert ids.tolist() == [100, 101, 100, 103]
-    assert made == [0, 1, 3]
+        ids, sizes = pool.ids(data, starts, ends, make)
+        assert ids.tolist() == [100, 101, 102, 103]
+    monkeypatch.setattr(_pool, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    assert pool.ids(data, starts[:1], ends[:1], make)[0].tolist() == [100]
+    other = lambda which: (np.array([7], np.int32), np.ones(1, np.int64))
+    assert pool.ids(data, starts[1:2], ends[1:2], other)[0].tolist() == [7]  # another span of a known hash
+    assert pool.ids(data, starts[1:2], ends[1:2], make)[0].tolist() == [7]
+    assert made == [0, 1, 2, 3, 0, 1, 2, 3, 0]
 
 
 def test_span_hashes_differ(monkeypatch):
@@ -194,9 +199,9 @@ def test_span_hashes_differ(monkeypatch):
         starts = ends - [len(s) for s in spans * 2]
         h = _text.span_hashes(data, starts, ends)
         assert (h[: len(spans)] == h[len(spans) :]).all() and len(set(h.tolist())) == len(spans)
-        order = np.arange(len(h))
-        assert _text.equal_spans(data, starts, ends, np.roll(order, len(spans))).all()
-        assert not _text.equal_spans(data, starts, ends, np.concatenate((np.roll(order[: len(spans)], 1), order[len(spans) :])))[: len(spans)].any()
+        eights, at, size, n = _text.Eights(data), starts, ends - starts, len(spans)
+        assert _text.equal_spans(eights, at, size, eights, np.roll(at, n), np.roll(size, n)).all()
+        assert not _text.equal_spans(eights, at[:n], size[:n], eights, np.roll(at[:n], 1), np.roll(size[:n], 1)).any()
 
 
 def test_op2(spark, odd, none):
@@ -237,6 +242,99 @@ def test_op2_notices_amid_other_words():
     assert {t: g[0] for t, g in zip(texts, got, strict=True)} == texts
 
 
+def plain_license(text, templates):
+    """(licence, cosine, share of words in licence lines) of a text by the definition, without filters."""
+    word = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
+    split = lambda t: word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+    bags = [Counter(split(t)) for _, t in templates]
+    idf = {w: 1 + math.log((1 + len(bags)) / (1 + sum(w in b for b in bags))) for b in bags for w in b}
+    weigh = lambda bag: {w: n * idf.get(w, 1 + math.log(1 + len(bags))) for w, n in bag.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    tell = set("mit apache gnu affero lesser cc creative noncommercial sharealike cc0 mozilla bsd".split())
+    rules = []
+    for (name, t), bag in zip(templates, bags, strict=True):
+        whole = t.startswith("SPDX-") or (name, t) in licenses.TITLES
+        rules.append((name, weigh(bag), set(bag) if whole else set(bag) & tell if sum(bag.values()) <= 16 else set(), sum(bag.values())))
+
+    def best_of(words, only=None):
+        bag, found = Counter(words), (0.0, "")
+        v = weigh(bag)
+        for k, (name, t, needed, _) in enumerate(rules):
+            if words and needed <= set(bag) and only in (None, k):
+                cosine = round(sum(x * v.get(w, 0.0) for w, x in t.items()) / norm(v) / norm(t), 9)
+                if cosine >= 0.7:
+                    found = min(found, (-cosine, name))
+        return found
+
+    best, marks = (0.0, ""), []
+    for part in re.split(r"\n[ \t\r]*\n", text):
+        lines = [split(x) for x in part.split("\n")]
+        words = [w for x in lines for w in x]
+        each = [best_of(x) for x in lines]
+        whole = best_of(words)
+        inside = [bool(whole[0]) or bool(f[0]) for f, x in zip(each, lines, strict=True) for _ in x]
+        best = min([best, whole, *each])
+        for k, (_, _, _, m) in enumerate(rules):
+            for i in range(len(words) - m + 1):
+                at = best_of(words[i : i + m], k)
+                best = min(best, at)
+                if at[0]:
+                    inside[i : i + m] = [True] * m
+        marks += inside
+    return best[1] or None, -best[0], sum(marks) / len(marks) if marks else 0.0
+
+
+def test_op2_brute_force(docs):
+    rng = random.Random(8)
+    templates = licenses.TEMPLATES + licenses.TITLES
+    texts = sorted((r.text for r in docs.select("text").collect() if r.text), key=lambda t: ("icense" not in t, len(t)))[:12]
+    for _, t in rng.sample(templates, 25):
+        w = t.split()
+        for _ in range(rng.randrange(0, 1 + len(w) // 4)):
+            w[rng.randrange(len(w))] = rng.choice(["license", "the", "software", "blue", "Version", "MIT"])
+        if rng.random() < 0.5:
+            w.insert(rng.randrange(len(w)), "\n")
+        texts.append("some words before\n\n" * rng.randrange(2) + "and right before " * rng.randrange(2) + " ".join(w) + " after" * rng.randrange(3))
+    raw = [t.encode() for t in texts]
+    got = licenses.Scorer().scan(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = [plain_license(t, templates) for t in texts]
+    assert sum(w[0] is not None for w in want) > 15
+    for t, g, w in zip(texts, got, want, strict=True):
+        assert g[0] == w[0] and g[1] == pytest.approx(w[1], abs=1e-8), t
+        assert w[0] is None or g[2] == pytest.approx(w[2]), t
+
+
+def test_op2_inheritance_ties_and_clashing_names(spark):
+    rng = random.Random(9)
+    notices = ["Released under the MIT License.", "Licensed under CC BY 4.0.", "SPDX-License-Identifier: ISC", "MIT License"]
+    files = []
+    for i in range(300):
+        folder = "/".join(rng.choice("abc") for _ in range(rng.randrange(0, 5)))
+        name = rng.choice(["LICENSE", "COPYING.md", "x.txt", "y.txt", "z.txt"]) + ("" if rng.random() < 0.5 else str(i))
+        text = rng.choice(notices) if rng.random() < 0.3 else "only plain words in here"
+        files.append((f"{folder}/{name}" if folder else name, text, 1, "s", None, 2.5, "u"))
+    df = spark.createDataFrame(files, "path string, text string, share int, _dir string, folder_ string, up_ double, _given string")
+    rows = licenses.license_scan(df).collect()
+    assert len(rows) == 300 and all((r.share, r._dir, r.folder_, r.up_, r._given) == (1, "s", None, 2.5, "u") for r in rows)
+    given = defaultdict(list)
+    for r in rows:
+        if r.is_license_file:
+            given[r.path.rpartition("/")[0]].append((-r.own_score, r.own_license))
+    told = 0
+    for r in rows:
+        at, want = r.path.rpartition("/")[0], (r.own_license, None)
+        while not r.own_license:
+            if at in given:
+                want = (min(given[at])[1], at)
+                break
+            if not at:
+                break
+            at = at.rpartition("/")[0]
+        assert (r.license, r.inherited_from) == want
+        told += want[1] is not None
+    assert told > 100
+
+
 def test_op2_prefilter_loses_nothing(docs):
     s = licenses.Scorer()
     texts = [r.text for r in docs.select("text").limit(150).collect()] + [t for _, t in licenses.TEMPLATES] + ["License the general public", "MIT"]
