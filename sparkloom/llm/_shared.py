@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..sources.workers import scratch, shipped
 
-__all__ = ["dropped", "shared_dir", "shipped", "written"]
+__all__ = ["dropped", "mapped", "shared_dir", "shipped", "written"]
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir, a folder that all machines share."""
@@ -35,3 +39,16 @@ def dropped(*tables: DataFrame) -> None:
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema); at a task's end its Python worker, which Spark uses again, gives freed memory back."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return df.mapInArrow(task, schema)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import shipped
+from ._shared import mapped, shipped
 from ._text import runs, slices, span_hashes
 from .quality import held_out
 
@@ -143,7 +143,7 @@ def train_langid(docs: DataFrame, sample: int = SAMPLE) -> Model:
     ids = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out())
     ids = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.where("lang is not null").join(F.broadcast(ids), "doc_id").select("text", "lang")
-    found = rows.mapInArrow(_counts, "lang string, kind int, hash long, n long").groupBy("lang", "kind", "hash")
+    found = mapped(rows, _counts, "lang string, kind int, hash long, n long").groupBy("lang", "kind", "hash")
     found = found.agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     langs = sorted(set(found["lang"].to_pylist()))
     lang = np.searchsorted(np.array(langs or [""]), np.array(found["lang"].to_pylist() or [], dtype=str)) if langs else np.zeros(0, np.int64)
@@ -185,5 +185,5 @@ def language_id(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     [rows.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"]
                 )
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = mapped(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import shipped, written
+from ._shared import mapped, shipped, written
 from ._text import ASCII_LOWER, runs, slices, span_hashes
 
 LEAST = 0.7
@@ -244,7 +244,7 @@ def license_scan(files: DataFrame, more: tuple[tuple[str, str], ...] = ()) -> Da
     schema = files.select(*keep, F.lit("").alias("own_license"), F.lit(0.0).alias("own_score"), F.lit(0.0).alias(share)).schema
     for f in schema.fields:
         f.nullable = True
-    found = written(files.mapInArrow(run, schema), "licenses")
+    found = written(mapped(files, run, schema), "licenses")
     named = F.coalesce(F.col("path").rlike(NAMED), F.lit(False)) | (F.col(share) >= 0.5)
     found = found.withColumn("is_license_file", F.col("own_license").isNotNull() & named).drop(share)
     found = found.withColumn(folder, F.regexp_extract("path", r"^(.*)/[^/]*$", 1))

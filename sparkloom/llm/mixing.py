@@ -36,11 +36,12 @@ def _shared_out(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
     family = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
     # a child is full if its capacity is below the share it gets once those before it (less capacity for their weight) are full
     order = family.orderBy((F.col("cap") / F.col("weight")), level)
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    nodes = nodes.withColumn("spent", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("open", F.sum("weight").over(after))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    nodes = nodes.withColumn("spent", F.sum("cap").over(upto) - F.col("cap"))
+    nodes = nodes.withColumn("open", F.sum("weight").over(family) - F.sum("weight").over(upto) + F.col("weight"))
     nodes = nodes.withColumn("full", F.col("cap") * F.col("open") <= F.col("weight") * F.greatest(F.col("budget") - F.col("spent"), F.lit(0)))
     # the full ones are a prefix of the order
-    nodes = nodes.withColumn("full", F.min(F.col("full").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    nodes = nodes.withColumn("full", F.min(F.col("full").cast("int")).over(upto) == 1)
     taken = F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(family)
     open_ = F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(family)
     nodes = nodes.withColumn("taken", taken).withColumn("open", open_)
@@ -91,13 +92,16 @@ def mix_sources(
     marked = marked.drop(*names, "n_tokens", "copies").withColumnsRenamed({f"{spare}{c}": c for c in names})
     marked = marked.withColumn("n_tokens", tokens(F.col("text")))
     rows = written(marked.where("doc_id is not null").select(*names, "doc_id", "n_tokens"), "tokens")
-    sizes = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
+    sizes = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
     quotas = leaf_quotas(sizes, names, weights, num, den, epochs).where("quota > 0")
     quotas = quotas.withColumn("whole", F.expr("quota div tokens")).withColumn("rest", F.expr("quota % tokens"))
+    # hash digits that deal a leaf into about as many stretches as each has documents
+    digits = sizes.select(*names, F.greatest(F.lit(3), F.ceil(F.log(16.0, F.sqrt("documents")))).cast("int").alias("digits"))
+    quotas = quotas.join(digits, names)
     quotas = written(quotas, "quotas")
 
     # where each leaf's prefix ends: totals by stretch of the key, then the one stretch that the rest falls into
-    keyed = rows.join(quotas, names).withColumn("key", _key(seed, F.col("whole"))).withColumn("stretch", F.substring("key", 1, 3))
+    keyed = rows.join(quotas, names).withColumn("key", _key(seed, F.col("whole"))).withColumn("stretch", F.expr("substring(key, 1, digits)"))
     totals = keyed.groupBy(*names, "stretch").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     running = F.sum("n").over(Window.partitionBy(*names).orderBy("stretch"))
     totals = totals.withColumn("upto", running).where("upto - n <= rest")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import dropped, shipped, written
+from ._shared import dropped, mapped, shipped, written
 from ._text import lists, mixed, shingle_sets, slices
 from .graph import connected_components
 
@@ -54,6 +54,8 @@ BLOCK = 256  # sets of a component in a block
 PAGE_BLOCK = 2048  # rows of a page in a block
 PIVOTS = 3  # that a set tries
 SALTS = 16
+BEST_ROUNDS = 2
+MANY = 1000  # a set with more copies than rows / MANY is joined to its rows apart
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -424,8 +426,8 @@ class RTree:
             self.levels.append(below)
             step = FAN
 
-    def partners(self, size: int, label: int, rest: int, point: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Points of other labels whose bounds allow (num + den) * overlap >= num * (their size + size)."""
+    def partners(self, size: int, label: int, rest: int, point: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points of other labels whose bounds allow (num + den) * overlap >= num * (their size + size), and how far they do."""
         rough = point.reshape(-1, COARSE).sum(axis=1, dtype=np.uint16)
         over = size - int(point.sum(dtype=np.int64))
         at = np.zeros(1, np.int64)
@@ -438,7 +440,7 @@ class RTree:
             bound = np.minimum(upper[at], rough).sum(axis=1, dtype=np.int64) + np.minimum(most[at], over)
             at = at[(num + den) * bound >= need]
             if not len(at):
-                return at
+                return at, np.zeros(0)
             step = FAN if depth else LEAF
             at = (at[:, None] * step + np.arange(step)).ravel()
             at = at[at < (len(self.levels[depth - 1][0]) if depth else len(self.sizes))]
@@ -449,43 +451,54 @@ class RTree:
         for points, mine in ((self.rough, rough), (self.points, point)):
             bound = np.minimum(points[at], mine).sum(axis=1, dtype=np.int64) + np.minimum(self.over[at], over)
             fits = (num + den) * bound >= need
-            at, need = at[fits], need[fits]
-        return self.order[at]
+            at, need, bound = at[fits], need[fits], bound[fits]
+        return self.order[at], bound / need
 
 
-def _candidates(num: int, den: int):
+def _candidates(num: int, den: int, best: bool = False):
     """From rows (key, i, j, side, node, n, rest, label, point) sorted by key, i and j: pairs of different labels that their bounds allow.
 
-    Sets of side 0 are looked up among those of side 1, or among each other where i = j.
+    Sets of side 0 are looked up among those of side 1, or among each other
+    where i = j. Rows are (a, b); if best, (key, a, b, score) with only the
+    likeliest partner of each row.
     """
+    names = ["key", "a", "b", "score"] if best else ["a", "b"]
 
-    def fitting(p, q, label, size, rest):
+    def at_once(starts, lens, node, size, rest, label, point):
+        """(row, row, score) of many pages of one leaf each."""
+        p, q = _pairs_within(starts, lens)
         need = num * (size[p] + size[q])
         fits = (label[p] != label[q]) & ((num + den) * np.minimum(rest[p], rest[q]) >= need)
         fits &= (den * size[q] >= num * size[p]) & (num * size[q] <= den * size[p])
-        return p[fits], q[fits]
-
-    def at_once(starts, lens, node, size, rest, label, point):
-        """The same for many pages of one leaf each."""
-        p, q = fitting(*_pairs_within(starts, lens), label, size, rest)
-        for k in range(0, len(p), 16384):
-            a, b = p[k : k + 16384], q[k : k + 16384]
+        p, q, need = p[fits], q[fits], need[fits]
+        for k in range(0, len(p), 8192):
+            a, b, least = p[k : k + 8192], q[k : k + 8192], need[k : k + 8192]
             over = np.minimum(size[a] - point[a].sum(axis=1, dtype=np.int64), size[b] - point[b].sum(axis=1, dtype=np.int64))
             bound = np.minimum(point[a], point[b]).sum(axis=1, dtype=np.int64) + over
-            fits = (num + den) * bound >= num * (size[a] + size[b])
-            yield node[a[fits]], node[b[fits]]
-
-    def by_tree(same, side, node, size, rest, label, point):
+            fits = (num + den) * bound >= least
+            a, b, score = a[fits], b[fits], bound[fits] / least[fits]
+            if best and len(a):
+                a, b, score = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((score, score))
+                order = np.lexsort((-score, a))
+                a, b, score = a[order], b[order], score[order]
+                first = np.concatenate(([True], a[1:] != a[:-1]))
+                a, b, score = a[first], b[first], score[first]
+            yield a, b, score
+
+    def by_tree(base, same, side, node, size, rest, label, point):
         mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        names, counts = np.unique(label, return_counts=True)
+        labels, counts = np.unique(label, return_counts=True)
         if same:  # of two labels at least one isn't the page's most frequent
-            theirs, mine = mine, np.flatnonzero(label != names[counts.argmax()])
-        if len(names) < 2 or not len(mine) or not len(theirs):
+            theirs, mine = mine, np.flatnonzero(label != labels[counts.argmax()])
+        if len(labels) < 2 or not len(mine) or not len(theirs):
             return
         tree = RTree(point[theirs], size[theirs], label[theirs], rest[theirs])
         for i in mine.tolist():
-            found = tree.partners(int(size[i]), int(label[i]), int(rest[i]), point[i], num, den)
-            yield np.full(len(found), node[i]), node[theirs[found]]
+            found, score = tree.partners(int(size[i]), int(label[i]), int(rest[i]), point[i], num, den)
+            if best and len(found):
+                k = int(score.argmax())
+                found, score = found[k : k + 1], score[k : k + 1]
+            yield np.full(len(found), base + i), base + theirs[found], score
 
     def pairs(rows):
         key, i, j, side, node, size, rest, label, point = rows
@@ -494,19 +507,21 @@ def _candidates(num: int, den: int):
         few = (lens <= LEAF) & (i[starts] == j[starts])
         yield from at_once(starts[few], lens[few], node, size, rest, label, point)
         for s, n in zip(starts[~few].tolist(), lens[~few].tolist(), strict=True):
-            yield from by_tree(i[s] == j[s], *(x[s : s + n] for x in (side, node, size, rest, label, point)))
+            yield from by_tree(s, i[s] == j[s], *(x[s : s + n] for x in (side, node, size, rest, label, point)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told():
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in both], ["a", "b"])
+            columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+            if not best:
+                columns = np.unique(np.stack((np.minimum(*columns), np.maximum(*columns))), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
         def whole(rows):
             nonlocal found, n
-            for a, b in pairs(rows):
+            key, node = rows[0], rows[4]
+            for a, b, score in pairs(rows):
                 if len(a):
-                    found.append((a, b))
+                    found.append((key[a], node[a], node[b], score) if best else (node[a], node[b]))
                     n += len(a)
                 if n > 100_000:
                     yield told()
@@ -544,7 +559,7 @@ def _bloom(spark: SparkSession, ids: DataFrame):
             word, bit = (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit.view(np.int64))], ["word", "bit"])
 
-    found = ids.mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    found = mapped(ids, bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     words = np.zeros(BLOOM_BITS // 64, np.uint64)
     words[np.asarray(found["word"])] = np.asarray(found["bit"]).view(np.uint64)
     return spark.sparkContext.broadcast(words)
@@ -575,7 +590,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     """
     spark = shipped(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    scan = written(docs.mapInArrow(_scan(n), "a long, b long, node long, point binary"), "shingles")
+    scan = written(mapped(docs, _scan(n), "a long, b long, node long, point binary"), "shingles")
     rows = scan.where("node is not null").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "node")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
     hot = (
@@ -585,11 +600,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     hot = np.ascontiguousarray(np.asarray(hot["a"]).astype(np.int64).view(np.uint64)[::-1])
     hot = spark.sparkContext.broadcast(hot)
 
-    keys = docs.mapInArrow(_prefixes(n, num, den, hot), "node long, n long, keys array<long>")
+    keys = mapped(docs, _prefixes(n, num, den, hot), "node long, n long, keys array<long>")
     keys = keys.select("node", "n", F.posexplode("keys").alias("at", "key"))
     keys = keys.select("key", "node", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("at")).cast("int").alias("rest"))
     pages = keys.repartition("key").sortWithinPartitions("key", "node")
-    pages = written(pages.mapInArrow(_pages(num, den), "key long, node long, n int, rest int, pivot long, large boolean"), "pages")
+    pages = written(mapped(pages, _pages(num, den), "key long, node long, n int, rest int, pivot long, large boolean"), "pages")
     hot.unpersist()
 
     known = pages.select("node").distinct().join(nodes.select("node", "first"), "node")
@@ -599,7 +614,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     def sets_of(some: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes in some (node, first), made from their texts."""
         bloom = _bloom(spark, some.select("first"))
-        sets = docs.mapInArrow(_sets(n, bloom), "doc_id long, node long, shingles binary")
+        sets = mapped(docs, _sets(n, bloom), "doc_id long, node long, shingles binary")
         sets = sets.join(some.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"])
         sets = written(sets.dropDuplicates(["node"]).select("node", "shingles"), "sets")
         bloom.unpersist()
@@ -611,7 +626,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
         some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = sets_of(known.select("node", "first").join(some, "node"))
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        links = written(both.mapInArrow(_verified(num, den), "a long, b long"), "links")
+        links = written(mapped(both, _verified(num, den), "a long, b long"), "links")
         dropped(pairs, sets)
         return links
 
@@ -629,21 +644,33 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     tries = tries.select(F.col("node").alias("a"), F.explode(F.slice("best", 1, PIVOTS)).alias("p")).select("a", F.col("p.pivot").alias("b"))
     mine, theirs = known.select("node", "point", "n").toDF("a", "x", "m"), known.select("node", "point", "n").toDF("b", "y", "n")
     tries = tries.join(mine, "a").join(theirs, "b").select("a", "b", "x", "y", "m", "n")
-    hung = verified(tries.mapInArrow(_bounded(num, den), "a long, b long"))
+    hung = verified(mapped(tries, _bounded(num, den), "a long, b long"))
     label = written(components(hung), "labels")
 
-    # Then whatever pairs of different components the trees let through.
-    rows_of = pages.drop("pivot").join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    torn = rows_of.groupBy("key", "large").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-    few = rows_of.where("not large").join(torn.where("not large").select("key"), "key")
-    few = few.select("key", *(F.lit(0).cast("long").alias(x) for x in ("i", "j")), F.lit(0).alias("side"), "node", "n", "rest", "label")
-    many = _dealt(rows_of.where("large"), "key", torn.where("large").select("key", "c"), PAGE_BLOCK)
-    torn = few.union(many.select(*few.columns)).join(known.select("node", "point"), "node")
-    torn = torn.select("key", "i", "j", "side", "node", "n", "rest", "label", "point")
-    torn = torn.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = verified(torn.mapInArrow(_candidates(num, den), "a long, b long").distinct())
-    stars = label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    last = written(components(links.union(stars)), "labels")
+    def torn(some: DataFrame, label: DataFrame) -> DataFrame:
+        """The rows of pages of two components or more, dealt out for the trees."""
+        rows_of = some.join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        apart = rows_of.groupBy("key", "large").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+        few = rows_of.where("not large").join(apart.where("not large").select("key"), "key")
+        few = few.select("key", *(F.lit(0).cast("long").alias(x) for x in ("i", "j")), F.lit(0).alias("side"), "node", "n", "rest", "label")
+        many = _dealt(rows_of.where("large"), "key", apart.where("large").select("key", "c"), PAGE_BLOCK)
+        rows_of = few.union(many.select(*few.columns)).join(known.select("node", "point"), "node")
+        return rows_of.select(*few.columns, "point").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def stars(label: DataFrame) -> DataFrame:
+        return label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+    # Then the trees: each row tries its likeliest partners of other components, and pages without any can go; last, all pairs that are left.
+    for _ in range(BEST_ROUNDS):
+        best = written(mapped(torn(pages, label), _candidates(num, den, True), "key long, a long, b long, score double"), "best")
+        tries = best.groupBy("a", "b").agg(F.max("score").alias("s")).groupBy("a")
+        tries = tries.agg(F.sort_array(F.collect_list(F.struct("s", "b")), False).alias("best"))
+        links = verified(tries.select("a", F.explode(F.slice("best", 1, PIVOTS)).alias("p")).select("a", F.col("p.b").alias("b")))
+        less, new = written(pages.join(best.select("key").distinct(), "key", "left_semi"), "pages"), written(components(links.union(stars(label))), "labels")
+        dropped(best, links, pages, label)
+        pages, label = less, new
+    links = verified(mapped(torn(pages, label), _candidates(num, den), "a long, b long").distinct())
+    last = written(components(links.union(stars(label))), "labels")
     dropped(label, hung, links, pages)
 
     nodes = nodes.join(last, "node", "left").withColumn("component_id", F.coalesce("component_id", "first"))
@@ -654,14 +681,18 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
         members = _dealt(members.select("node", "label", "n_copies").join(sets, "node"), "label", sizes, BLOCK)
         members = members.select("label", "i", "j", "side", "node", "n_copies", "shingles")
         members = members.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
-        linked = members.mapInArrow(_counted(num, den), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+        linked = mapped(members, _counted(num, den), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
         nodes = nodes.join(written(linked, "linked"), "node", "left")
         nodes = nodes.withColumn("n_links", F.col("n_copies") - 1 + F.coalesce("linked", F.lit(0)))
         dropped(sets)
     dropped(known)
     counts = ["n_links"] * count_links
-    nodes = nodes.select("node", "component_id", "n_copies", *counts)
-    return rows.join(nodes, "node", "left").select(
+    nodes = written(nodes.select("node", "component_id", "n_copies", *counts), "nodes")
+    # fewer than MANY sets can have so many copies, so these are small enough to broadcast; the rest has no hot keys
+    many = F.col("n_copies") * MANY > rows.count()
+    hot = rows.join(F.broadcast(nodes.where(many)), "node", "left")
+    cold = hot.where("n_copies is null").select(*rows.columns).join(nodes.where(~many), "node", "left")
+    return hot.where("n_copies is not null").unionByName(cold).select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._pool import Pool, gather
-from ._shared import shipped
+from ._shared import mapped, shipped
 from ._text import lists, slices
 
 MARK = 0x2581  # stands for a space
@@ -255,7 +255,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
                 yield rows.append_column("ids", lists(ids, sizes)).append_column("exact", pa.array(exact, pa.bool_()))
 
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
@@ -274,7 +274,7 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
                 texts = [t.decode("utf-8", "replace") if k else None for t, k in zip(texts, known, strict=True)]
                 yield rows.append_column("decoded", pa.array(texts, pa.string()))
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+    return mapped(encoded, run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def piece_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -304,4 +304,4 @@ def piece_digests(docs: DataFrame, path: str) -> DataFrame:
                 )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, exact boolean")
+    return mapped(docs, run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, exact boolean")

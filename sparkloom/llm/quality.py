@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import shipped
+from ._shared import mapped, shipped
 from ._text import ASCII_LOWER, SPACES, mixed, runs, slices, span_hashes
 
 BITS = 18
@@ -176,7 +176,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
     picked = picked.join(known, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    found = rows.mapInArrow(_indicators, "doc_id long, quality int, found binary").toArrow()
+    found = mapped(rows, _indicators, "doc_id long, quality int, found binary").toArrow()
     found = found.sort_by("doc_id")
     ids = np.asarray(found["doc_id"])
     once = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
@@ -200,7 +200,7 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
 
     plain = docs.drop("score", "predicted")
     schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return plain.mapInArrow(run, schema)
+    return mapped(plain, run, schema)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:

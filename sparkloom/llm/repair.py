@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._pool import Pool, gather
-from ._shared import shipped, written
+from ._shared import mapped, shipped, written
 from ._text import SPACES, runs, slices
 
 MAGIC = b"RPG1"
@@ -346,7 +346,7 @@ def write_token_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS) -
 
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(docs.mapInArrow(run, "part int, shard int, n_tokens long, data binary"), "token-shards")
+    return written(mapped(docs, run, "part int, shard int, n_tokens long, data binary"), "token-shards")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +378,5 @@ def read_token_digests(shards: DataFrame) -> DataFrame:
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     inner = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")
     starts = written(sizes.withColumn("base0", inner).join(parts, "part").select("part", "shard", (F.col("base0") + F.col("base")).alias("base")), "starts")
-    rows = shards.select("part", "shard", "data").mapInArrow(
-        _decoded, "part int, shard int, doc_id long, within long, n_tokens long, ids_crc32 long"
-    )
+    rows = mapped(shards.select("part", "shard", "data"), _decoded, "part int, shard int, doc_id long, within long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

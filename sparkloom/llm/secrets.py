@@ -12,13 +12,14 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import shipped
+from ._shared import mapped, shipped
 from ._text import slices
 
 # The base patterns.
@@ -52,10 +53,11 @@ def linked_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int,
     """Weak candidates of a text whose complements lie in the same scope."""
     taken = sorted((s, e) for s, _, e in base)
     firsts = [s for s, _ in taken]
+    lasts = list(accumulate((e for _, e in taken), max))  # the furthest end up to each
 
     def free(m: re.Match) -> bool:
         i = bisect_right(firsts, m.end() - 1)
-        return not any(e > m.start() for _, e in taken[:i])
+        return not i or lasts[i - 1] <= m.start()
 
     weak_ids = [(m.start(), "ident", m.end()) for m in IDENT.finditer(text) if free(m)]
     keys = [(m.start(), "key", m.end()) for m in KEY.finditer(text) if free(m)]
@@ -121,7 +123,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """
     shipped(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_find, "doc_id long, spans array<struct<kind: string, start: int, end: int, base: boolean>>")
+    return mapped(docs, _find, "doc_id long, spans array<struct<kind: string, start: int, end: int, base: boolean>>")
 
 
 def redacted(text: str, mark: str = "[SECRET]") -> str:
@@ -153,7 +155,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                     rows = rows.set_column(k, "n_chars", pa.array(sizes, rows.schema.field("n_chars").type))
             yield rows
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def secret_digests(spans: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ def test_op1_rtree_bounds():
     size = np.array([len(s) for s in sets])
     tree = ngram_join.RTree(points, size, np.arange(150), size)
     for i in range(150):
-        found = set(tree.partners(int(size[i]), i, int(size[i]), points[i], 3, 4).tolist())
+        found = set(tree.partners(int(size[i]), i, int(size[i]), points[i], 3, 4)[0].tolist())
         assert i not in found
         for j in set(range(150)) - {i}:
             common = len(np.intersect1d(sets[i], sets[j]))
@@ -645,3 +645,24 @@ def test_pipeline(spark, small):
     assert 0.5 * tokens(pool) < tokens(mixed) <= 0.9 * tokens(pool)
     assert coded.keys() == mixed.keys() and all(r.exact and len(r.ids) == r.n_ids for r in coded.values())
     assert json.dumps(sorted(coded)) and c.ORACLE_SQL is None
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none, small):
+    import corpus_pipeline as c
+
+    extra = lambda df: df.withColumns({x: F.lit(f"mine {x}") for x in ("score", "predicted", "copies", "mix_lang", "share", "node")})
+    long = spark.createDataFrame([(50, "long words of one text " * 100_000, "en", "s", None), (50, "another text of the same id", "en", "s", None)], DOC)
+    for rows in (extra(odd.unionByName(long)), extra(none)):
+        n = rows.count()
+        for name, stage in c.STAGES:
+            got = c.written(stage(spark, rows, small), "test").collect()
+            assert len(got) <= n, name
+            if name == "SentencePiece encoding and decoding":
+                assert len(got) == n and all(r.exact for r in got)
+                continue
+            assert all(r[x] == f"mine {x}" for r in got for x in ("score", "predicted", "copies", "mix_lang", "share", "node")), name
+            if name == "n-gram Jaccard join" and n:
+                assert sorted((r.doc_id, r.text[:7]) for r in got if r.doc_id in (7, 8, 50)) == [(7, "same te"), (50, "another")]
+                assert {r.doc_id for r in got} == {None, 0, 1, 2, 3, 4, 5, 6, 7, 50}
+            if name == "secret scans":
+                assert len(got) == n
