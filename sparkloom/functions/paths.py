@@ -48,6 +48,11 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def is_string(v: Column) -> Column:
     return _kind(v) == "STRING"
 
@@ -57,8 +62,11 @@ def is_boolean(v: Column) -> Column:
 
 
 def is_number(v: Column) -> Column:
-    k = _kind(v)
-    return (k == "BIGINT") | (k == "DOUBLE") | (k == "FLOAT") | k.startswith("DECIMAL")
+    return _numeric_kind(_kind(v))
+
+
+def _numeric_kind(k: Column) -> Column:
+    return k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")
 
 
 def is_integer(v: Column) -> Column:
@@ -95,15 +103,28 @@ def truthy(v: Column) -> Column:
     )
 
 
+def _exact(v: Column) -> Column:
+    """A number's digits where a double can't tell it from its neighbours: 20 before the point and 18 after it."""
+    return F.coalesce(get(v, "decimal(38,18)"), F.lit(0).cast("decimal(38,18)"))
+
+
+def measure(v: Column) -> Column:
+    """A struct that compares as numbers do, whole ones of any BIGINT included; null for other kinds."""
+    return F.when(is_number(v), F.struct(get(v, "double").alias("size"), _exact(v).alias("exact")))
+
+
 def order(v: Column) -> Column:
     """A struct that sorts as values do: null < boolean < number < string < array < map."""
-    k = _kind(v)
-    rank = (
-        F.when(k == "BOOLEAN", 1).when(is_number(v), 2).when(k == "STRING", 3).when(k.startswith("ARRAY"), 4).when(k.startswith("OBJECT"), 5)
-    ).otherwise(0)
-    size = F.when(rank == 1, get(v, "boolean").cast("double")).when(rank == 2, get(v, "double")).otherwise(0.0)
-    text = F.when(rank == 3, get(v, "string")).when(rank > 3, F.to_json(v)).otherwise("")
-    return F.struct(rank.alias("rank"), size.alias("size"), text.alias("text"))
+
+    def of(k: Column) -> Column:
+        rank = F.when(k == "BOOLEAN", 1).when(_numeric_kind(k), 2).when(k == "STRING", 3).when(k.startswith("ARRAY"), 4).when(k.startswith("OBJECT"), 5)
+        rank = rank.otherwise(0)
+        size = F.when(rank == 1, get(v, "boolean").cast("double")).when(rank == 2, get(v, "double")).otherwise(0.0)
+        exact = F.when(rank == 2, _exact(v)).otherwise(F.lit(0).cast("decimal(38,18)"))
+        text = F.when(rank == 3, get(v, "string")).when(rank > 3, F.to_json(v)).otherwise("")
+        return F.struct(rank.alias("rank"), size.alias("size"), exact.alias("exact"), text.alias("text"))
+
+    return once(_kind(v), of)
 
 
 def equal(a: Column, b: Column) -> Column:
@@ -132,11 +153,11 @@ class Compiler:
         match node:
             case S.Current():
                 return v
+            case S.Field(name) if root and name in self.scope:
+                return self.scope[name]
+            case S.Field() | S.Then() if steps := _steps(node, self.scope if root else {}):
+                return norm(F.try_variant_get(v, f"${steps}", VARIANT))
             case S.Field(name):
-                if root and name in self.scope:
-                    return self.scope[name]
-                if name.isidentifier() and name.isascii():
-                    return norm(F.try_variant_get(v, f"$.{name}", VARIANT))
                 return norm(F.try_element_at(mapping(v), F.lit(name)))
             case S.Literal(value):
                 try:
@@ -144,7 +165,7 @@ class Compiler:
                 except KeyError as e:
                     raise PathError(str(e)) from None
             case S.Then(left, right):
-                return self.compile(right, go(left))
+                return self.bind(left, go(left), lambda x: self.compile(right, x))
             case S.Index(at):
                 return norm(F.try_element_at(array(v), F.lit(at + 1 if at >= 0 else at)))
             case S.Project(left, items, right):
@@ -158,18 +179,71 @@ class Compiler:
             case S.MultiHash(parts):
                 fields = [go(p).alias(k) for k, p in parts]
                 return F.when(v.isNotNull(), F.to_variant_object(F.struct(*fields)))
-            case S.Compare(op, left, right):
-                return variant(self.compare(op, go(left), go(right)))
+            case S.Compare():
+                return variant(self.comparison(node, v, root))
+            case S.Not(part):
+                return variant(~self.test(part, v, root))
             case S.And(left, right):
-                return F.when(truthy(go(left)), go(right)).otherwise(go(left))
+                return F.when(self.test(left, v, root), go(right)).otherwise(go(left))
             case S.Or(left, right):
-                return F.when(truthy(go(left)), go(left)).otherwise(go(right))
-            case S.Not(part):
-                return variant(~truthy(go(part)))
+                return F.when(self.test(left, v, root), go(left)).otherwise(go(right))
             case S.Call(name, args):
                 return self.call(name, args, go)
         raise PathError(f"{node} can't stand here")
 
+    def bind(self, node: Any, value: Column, f: Callable[[Column], Column]) -> Column:
+        """f(value); a value that costs more than a look-up is evaluated once."""
+        return f(value) if isinstance(node, S.Field | S.Current | S.Literal) or _steps(node, {}) else once(value, f)
+
+    def test(self, node: Any, v: Column, root: bool = False) -> Column:
+        """Is what the node finds true? A native boolean, never null."""
+        go = functools.partial(self.compile, v=v, root=root)
+        match node:
+            case S.Not(part):
+                return ~self.test(part, v, root)
+            case S.And(left, right):
+                return self.test(left, v, root) & self.test(right, v, root)
+            case S.Or(left, right):
+                return self.test(left, v, root) | self.test(right, v, root)
+            case S.Compare():
+                return F.coalesce(self.comparison(node, v, root), F.lit(False))
+        return self.bind(node, go(node), truthy)
+
+    def comparison(self, node: S.Compare, v: Column, root: bool) -> Column:
+        """A native boolean; null where an order between the operands isn't defined."""
+        op, left, right = node.op, node.left, node.right
+        go = functools.partial(self.compile, v=v, root=root)
+        for x, other, turned in ((left, right, op), (right, left, _TURNED[op])):
+            if isinstance(other, S.Literal) and not isinstance(x, S.Literal):
+                try:
+                    value = plain(other.value, self.params)
+                except KeyError as e:
+                    raise PathError(str(e)) from None
+                if (found := self.against(turned, value)) is not None:
+                    return self.bind(x, go(x), found)
+        return self.bind(left, go(left), lambda a: self.bind(right, go(right), lambda b: self.compare(op, a, b)))
+
+    def against(self, op: str, value: Any) -> Callable[[Column], Column] | None:
+        """The test of an operand against a literal, where its kind makes that a native comparison."""
+        if self.strict and op not in ("==", "!=") or isinstance(value, bool):
+            return None
+        if isinstance(value, str):
+            def same(x: Column) -> Column:
+                k = _kind(x)
+                return F.when(k == "STRING", get(x, "string") == value).when(k == "BOOLEAN", get(x, "boolean") == F.lit(value == "true"))
+
+            read = string
+        elif isinstance(value, int | float) and abs(value) < 2**53:  # a double tells it from all other numbers
+            read = number
+            same = lambda x: number(x) == float(value)
+        else:
+            return None
+        literal_ = F.lit(value if isinstance(value, str) else float(value))
+        if op in ("==", "!="):
+            equal_ = lambda x: F.coalesce(same(x), F.lit(False))
+            return equal_ if op == "==" else lambda x: ~equal_(x)
+        return lambda x: _TESTS[op](read(x), literal_)
+
     def function(self, body: Any) -> Callable[[Column], Column]:
         return lambda x: self.compile(body, norm(x))
 
@@ -180,18 +254,15 @@ class Compiler:
         if items.kind == "flatten":
             return F.flatten(F.transform(xs, lambda x: F.coalesce(array(x), F.array(x))))
         if items.kind == "filter":
-            return F.filter(xs, lambda x: truthy(self.compile(items.arg, x)))
+            return F.filter(xs, lambda x: self.test(items.arg, x))
         if items.kind == "slice":
-            return _sliced(xs, *items.arg)
+            return once(xs, lambda xs: _sliced(xs, *items.arg))
         return xs
 
     def compare(self, op: str, a: Column, b: Column) -> Column:
         if op in ("==", "!="):
             return equal(a, b) if op == "==" else ~equal(a, b)
-        test: Callable[[Column, Column], Column] = {
-            "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y
-        }[op]
-        out = F.coalesce(test(number(a), number(b)), test(string(a), string(b)))
+        out = F.coalesce(_TESTS[op](measure(a), measure(b)), _TESTS[op](string(a), string(b)))
         if self.strict:
             out = F.coalesce(out, F.raise_error(F.lit(f"{op}: the operands can't be compared")).cast("boolean"))
         return out
@@ -208,7 +279,34 @@ class Compiler:
             if isinstance(a, S.Lambda) != (i == wants):
                 raise PathError(f"{name}: argument {i + 1} must {'' if i == wants else 'not '}be an expression argument")
             given.append(self.function(a.body) if isinstance(a, S.Lambda) else go(a))
-        return make(self, *given)
+
+        def bound(i: int, *done: Any) -> Column:
+            if i == len(given):
+                return make(self, *done)
+            if callable(given[i]) and not isinstance(given[i], Column):
+                return bound(i + 1, *done, given[i])
+            return self.bind(args[i], given[i], lambda x: bound(i + 1, *done, x))
+
+        return bound(0)
+
+
+_TESTS: dict[str, Callable[[Column, Column], Column]] = {
+    "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y
+}
+_TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "==", "!=": "!="}
+
+
+def _steps(node: Any, scope: dict[str, Column]) -> str:
+    """A chain of plain names and indexes from the front as one variant path ('' for other nodes)."""
+    match node:
+        case S.Field(name) if name.isidentifier() and name.isascii() and name not in scope:
+            return f".{name}"
+        case S.Index(at) if at >= 0:
+            return f"[{at}]"
+        case S.Then(left, right):
+            a, b = _steps(left, scope), _steps(right, {})
+            return a + b if a and b else ""
+    return ""
 
 
 def _sliced(xs: Column, start: int | None, stop: int | None, step: int | None) -> Column:
@@ -236,10 +334,12 @@ def _numeric(c: Compiler, v: Column, of_int: Callable, of_double: Callable, what
 
 
 def _total(c: Compiler, v: Column, what: str) -> Column:
-    xs = F.transform(array(v), number)
-    total = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    out = total if what == "sum" else F.when(F.size(xs) > 0, total / F.size(xs))
-    return c.check(F.forall(xs, lambda x: x.isNotNull()), variant(out), what)
+    def of(xs: Column) -> Column:
+        total = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+        out = total if what == "sum" else F.when(F.size(xs) > 0, total / F.size(xs))
+        return c.check(F.forall(xs, lambda x: x.isNotNull()), variant(out), what)
+
+    return once(F.transform(array(v), number), of)
 
 
 def _contains(c: Compiler, v: Column, x: Column) -> Column:
@@ -270,21 +370,25 @@ def _length(c: Compiler, v: Column) -> Column:
     return c.check(n.isNotNull(), variant(n.cast("bigint")), "length")
 
 
+def _keyed(xs: Column, key: Callable[[Column], Column], sign: int = 1) -> Column:
+    """(k, i) of all items: their keys' order and their places, negative if sign is."""
+    return F.transform(xs, lambda x, i: F.struct(order(key(norm(x))).alias("k"), (i * sign).alias("i")))
+
+
 def _extreme(v: Column, key: Callable[[Column], Column], least: bool) -> Column:
     """The first item with the least (or greatest) known key; null for none."""
 
-    def better(a: Column, x: Column) -> Column:
-        k, m = order(key(x)), order(key(a))
-        return key(x).isNotNull() & (a.isNull() | (k < m if least else k > m))
+    def of(xs: Column) -> Column:
+        known = F.filter(_keyed(xs, key, 1 if least else -1), lambda p: p["k"]["rank"] > 0)
+        best = F.array_min(known) if least else F.array_max(known)
+        return norm(F.get(xs, F.abs(best["i"])))
 
-    return F.aggregate(array(v), F.lit(None).cast(VARIANT), lambda a, x: F.when(F.coalesce(better(a, norm(x)), F.lit(False)), norm(x)).otherwise(a))
+    return once(array(v), of)
 
 
 def _sorted(v: Column, key: Callable[[Column], Column]) -> Column:
     """Stable: ties keep their places."""
-    pairs = F.transform(array(v), lambda x, i: F.struct(order(key(norm(x))).alias("k"), i.alias("i"), x.alias("x")))
-    by = lambda p: F.struct(p["k"], p["i"])
-    return variant(F.transform(F.array_sort(pairs, lambda a, b: F.when(by(a) < by(b), -1).otherwise(1)), lambda p: p["x"]))
+    return once(array(v), lambda xs: variant(F.transform(F.array_sort(_keyed(xs, key)), lambda p: F.get(xs, p["i"]))))
 
 
 def _merge(c: Compiler, *vs: Column) -> Column:
@@ -314,7 +418,9 @@ def _type(v: Column) -> Column:
 
 
 def _to_bigint(c: Compiler, v: Column) -> Column:
-    out = F.when(is_string(v), get(v, "string").try_cast("bigint")).when(is_number(v), get(v, "double").try_cast("bigint"))
+    out = F.when(is_string(v), get(v, "string").try_cast("bigint")).when(
+        is_number(v), F.coalesce(get(v, "decimal(38,18)").try_cast("bigint"), get(v, "double").try_cast("bigint"))
+    )
     return variant(F.when(is_integer(v), get(v, "bigint")).otherwise(out.when(is_boolean(v), get(v, "boolean").cast("bigint"))))
 
 
@@ -373,7 +479,8 @@ def search_as(doc: Column | str, path: str, kind: str, params: dict[str, Any] |
 
 def where(df: DataFrame, doc: Column | str, test: str, params: dict[str, Any] | None = None) -> DataFrame:
     """The rows whose document passes the test."""
-    return df.where(truthy(search(doc, test, params)))
+    doc = F.col(doc) if isinstance(doc, str) else doc
+    return df.where(Compiler(params).test(S.parse_path(test), norm(doc)))
 
 
 def _typed(df: DataFrame, node: Any, params: dict[str, Any]) -> Column | None:
@@ -411,7 +518,7 @@ def _row(df: DataFrame) -> Column:
 def where_rows(df: DataFrame, test: str, params: dict[str, Any] | None = None) -> DataFrame:
     """The rows that pass a test in which names are columns; plain comparisons become native, pushed-down predicates."""
     native = _typed(df, S.parse_path(test), params or {})
-    return df.where(native if native is not None else truthy(search(_row(df), test, params)))
+    return df.where(native) if native is not None else where(df, _row(df), test, params)
 
 
 def select_rows(df: DataFrame, fields: dict[str, tuple[str, str] | str], params: dict[str, Any] | None = None) -> DataFrame:

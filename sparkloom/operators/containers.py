@@ -44,10 +44,11 @@ class OrderedMap:
         placed = with_positions(both, "key", F.col("q").isNull().cast("int"))
         here = F.when(F.col("q").isNull(), F.struct("key", "value"))
         b = F.floor(F.col("pos") / 4096)
-        inner = F.first(here, True).over(Window.partitionBy("_b").orderBy("pos").rowsBetween(0, Window.unboundedFollowing))
+        # the nearest entry from here on: the last one seen from the far end, so that a frame only grows
+        inner = F.last(here, True).over(Window.partitionBy("_b").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
         placed = placed.withColumn("_b", b)
         firsts = placed.groupBy("_b").agg(F.min_by(here, F.when(F.col("q").isNull(), F.col("pos"))).alias("_f"))
-        after = F.first("_f", True).over(Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing))
+        after = F.last("_f", True).over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
         firsts = firsts.select("_b", after.alias("_after"))  # one row for each block of positions
         found = placed.withColumn("_in", inner).where("q is not null").join(firsts, "_b").select("q", F.coalesce("_in", "_after").alias("e"))
         return found.select("q", "e.key", "e.value")

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workers import scratch
+
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once, so that two branches see the same rows in the same partitions: checkpointed where a folder is set."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    """df computed once, so that two branches see the same rows in the same partitions: checkpointed in the shared folder."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(scratch(spark))  # of a local session only
+    return df.checkpoint()
 
 
 def with_positions(df: DataFrame, *keys: str | Column, name: str = "pos", parts: int | None = None) -> DataFrame:

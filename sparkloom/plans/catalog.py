@@ -470,12 +470,12 @@ def sequence_select_whole_eq_nlt(spark, d):
 @query("""SELECT 'now' AS version, o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey % 5 <> 0
 UNION ALL SELECT 'before', o_orderkey, o_totalprice FROM orders""")
 def store_time_travel(spark, d):
-    import tempfile
     import uuid
 
     from ..sources.store import Store
+    from ..sources.workers import scratch
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or scratch(spark)
     store = Store.create(spark, f"{base.rstrip('/')}/sparkloom-store-{uuid.uuid4().hex}")
     w = store.begin()
     w.put("orders", _orders(spark, d).df, "Map<BigInt,Double>")

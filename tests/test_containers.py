@@ -189,3 +189,20 @@ def test_channels(spark, tmp_path):
     assert channels.drained(channels.running_sum(stream, "value")).first().total == sum(range(3000))
     channels.call(channels.pop(spark, path, "value long"), lambda df: df.select((F.col("value") * 2).alias("value")), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("value")).first()[0] == 2 * sum(range(3000))
+
+
+def test_vacuum_and_locks(spark, tmp_path):
+    store = Store.create(spark, f"file://{tmp_path}/v")
+    w = store.begin()
+    w.put("a", spark.range(3), "Set<BigInt>")
+    with pytest.raises(StoreError):
+        store.vacuum()
+    w.commit()
+    assert store.vacuum() == [] and store.open().find("a").count() == 3
+    with pytest.raises(StoreError):
+        store.begin("no such branch")
+    w = store.begin()  # the failed one left no lock
+    w.put("b", spark.range(1), "Set<BigInt>")
+    store.break_lock()
+    assert len(store.vacuum()) == 1
+    store.begin().rollback()

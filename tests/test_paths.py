@@ -147,3 +147,26 @@ def test_row_tests_reach_the_scan(spark, small):
     assert "GreaterThan(value,100" in plan and "EqualNullSafe(event_type,view)" in plan and "props" not in plan
     native, via = paths.where_rows(events, "!(value > ^100)").count(), events.where(~(F.col("value") > 100)).count()
     assert native == via and paths.where_rows(events, "starts_with(event_type, 'v')").count() == events.where("event_type like 'v%'").count()
+
+
+def test_hand_written_results(spark):
+    """Expectations that share no code with the compiler or its parser."""
+    text = '{"a":{"b":true,"l":[1,2]},"x":9007199254740993,"y":9007199254740992,"n":[3,1.5,2,null],"e":[],"t":"true","dec":12345678901234567890.5}'
+    df = spark.createDataFrame([(text,)], "t string").select(paths.document("t").alias("d"))
+    want = {
+        "!a.b": False, "!a.c": True, "!a.l[0]": False, "!e": True, "!a.b || t": "true", "!a.c && x": 9007199254740993, "!a.b == a.c": False,
+        "x == y": False, "x != y": True, "x > y": True, "y < x": True, "x >= x": True, "x < y": False, "t > x": None,
+        "max([y, x])": 9007199254740993, "min([x, y])": 9007199254740992, "sort([x, y])": [9007199254740992, 9007199254740993],
+        "contains([x], y)": False, "contains([x], x)": True, "[x, y][?@ == ^9007199254740993]": [9007199254740993],
+        "sort(n)": [None, 1.5, 2, 3], "max(n)": 3, "min(n)": 1.5, "n[?@ > ^1.5]": [3, 2], "n[?^2 <= @]": [3, 2], "a.b == t": True, "length(n[?@ != ^2])": 2,
+        "to_bigint(x)": 9007199254740993, "a.l[1]": 2, "a.l[-1]": 2, "a.l | [0]": 1, "min_by([{k: x, v: 't'}, {k: y, v: 'u'}], &k).v": "u",
+    }
+    row = df.select(*(F.to_json(paths.search("d", q)).alias(str(i)) for i, q in enumerate(want))).first()
+    got = {q: json.loads(row[str(i)]) if row[str(i)] is not None else None for i, q in enumerate(want)}
+    assert got == want
+
+
+def test_nested_tests_stay_small(spark):
+    df = spark.createDataFrame([("{}",)], "t string").select(paths.document("t").alias("d"))
+    plan = df.select(paths.search("d", "length(lines[?a > ^25 && b.c == 'x' || !d])"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
