@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..sources.workers import scratch, shipped
 
-__all__ = ["dropped", "mapped", "shared_dir", "shipped", "written"]
+__all__ = ["dropped", "mapped", "shared_dir", "shipped", "trimmed", "written"]
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir, a folder that all machines share."""
@@ -46,9 +46,14 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trimmed()
 
     return df.mapInArrow(task, schema)
+
+
+def trimmed() -> None:
+    """Give memory that this process has freed back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

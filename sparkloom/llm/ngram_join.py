@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import dropped, mapped, shipped, written
+from ._shared import dropped, mapped, shipped, trimmed, written
 from ._text import lists, mixed, shingle_sets, slices
 from .graph import connected_components
 
@@ -605,7 +605,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     keys = keys.select("key", "node", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("at")).cast("int").alias("rest"))
     pages = keys.repartition("key").sortWithinPartitions("key", "node")
     pages = written(mapped(pages, _pages(num, den), "key long, node long, n int, rest int, pivot long, large boolean"), "pages")
-    hot.unpersist()
+    hot.destroy()
+    trimmed()
 
     known = pages.select("node").distinct().join(nodes.select("node", "first"), "node")
     points = scan.where("b > 0").select(F.col("a").alias("first"), "node", F.col("b").alias("n"), "point")
@@ -617,7 +618,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
         sets = mapped(docs, _sets(n, bloom), "doc_id long, node long, shingles binary")
         sets = sets.join(some.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"])
         sets = written(sets.dropDuplicates(["node"]).select("node", "shingles"), "sets")
-        bloom.unpersist()
+        bloom.destroy()
+        trimmed()
         return sets
 
     def verified(pairs: DataFrame) -> DataFrame:
