@@ -82,18 +82,29 @@ def _successors(ids: DataFrame) -> DataFrame:
     return dealt.withColumn("inner", inner).join(after, "part").select("doc_id", F.coalesce("inner", "after").alias("next_id"))
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """The text of each doc_id, the smallest of rows that repeat it.
+
+    Only the ids are shuffled, and the texts of repeated ids: Spark broadcasts
+    their table as long as its files are below its own threshold.
+    """
+    again = written(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    single = docs.join(again, "doc_id", "left_anti").select("text")
+    return single.unionAll(docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("text"))
+
+
 def document_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, whole: bool = False) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of docs (doc_id, text).
 
     The edited text's last floor(n_chars / 2) code points are the first as many
     of the next document's, by ascending doc_id. Null texts are empty; rows
     with a null doc_id are left out; of rows that repeat a doc_id the smallest
-    text counts, once. A text without a term in the band has the fingerprint
+    text counts, once, for the lexicon too. A text without a term in the band has the fingerprint
     of empty signatures and is like no other but an equal text; if whole, only
     a text without words has.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = F.broadcast(written(lexicon(docs.select("text"), low, high, whole), "lexicon"))
+    known = F.broadcast(written(lexicon(_once(docs), low, high, whole), "lexicon"))
     succession = written(_successors(docs.select("doc_id").distinct()), "successors")
     texts = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
     mine = texts.join(succession, "doc_id").withColumn("n_chars", F.char_length("text").cast("long"))
