@@ -14,7 +14,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import mapped, shipped
@@ -22,7 +22,7 @@ from ._text import runs, slices, span_hashes
 from .quality import held_out
 
 LONGEST = 5
-SAMPLE = 4000  # documents that the model learns from, at most
+SAMPLE = 1000  # documents of each language that the model learns from, at most
 SMOOTHING = 0.5
 UNSEEN = 0.5  # weight of an unseen word's n-grams against a known word
 
@@ -139,10 +139,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_langid(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from text and lang of at most `sample` documents: those with the lowest hash of doc_id that aren't held out."""
+    """Learn from text and lang of at most `sample` documents of each language: those with the lowest hash of doc_id that aren't held out.
+
+    Every task only passes on its own first rows of a language, so no task
+    meets all ids of a common one. Smoothing counts follow each language's
+    total, so that a word that no sample of a language holds speaks for no
+    language, however few its documents are.
+    """
     ids = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out())
-    ids = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.where("lang is not null").join(F.broadcast(ids), "doc_id").select("text", "lang")
+    ids = ids.select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = ids.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).drop("_rank")
+    rows = docs.join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang")
     found = mapped(rows, _counts, "lang string, kind int, hash long, n long").groupBy("lang", "kind", "hash")
     found = found.agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     langs = sorted(set(found["lang"].to_pylist()))
@@ -152,8 +160,10 @@ def train_langid(docs: DataFrame, sample: int = SAMPLE) -> Model:
     for k in range(LONGEST + 1):
         mine = kind == k
         key, at = np.unique(h[mine].astype(np.int64).view(np.uint64), return_inverse=True)
-        count = np.full((len(key), len(langs)), SMOOTHING)
+        count = np.zeros((len(key), len(langs)))
         np.add.at(count, (at, lang[mine]), n[mine])
+        total = count.sum(axis=0)
+        count += SMOOTHING * np.maximum(total, 1) / max(1, total.max(initial=0))
         tables.append(Table(key, np.log(count / count.sum(axis=0)) if len(key) else count))
     return Model(langs, tables)
 
