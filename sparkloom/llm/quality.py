@@ -1,7 +1,8 @@
 """Quality classifier: naive Bayes support vectors over n-gram indicators.
 
-A text's features are hashed indicators: its words, and runs of one to four
-word shapes with a note of which neighbours are equal. Each indicator is scaled
+A text's features are hashed indicators: its words and runs of two and three
+words, and runs of one to four word shapes with a note of which neighbours are
+equal. Each indicator is scaled
 by the log ratio of its smoothed class counts, and a linear hinge-loss model is
 fitted to the scaled indicators by dual coordinate descent.
 """
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import mapped, shipped
-from ._text import ASCII_LOWER, SPACES, mixed, runs, slices, span_hashes
+from ._text import ASCII_LOWER, SPACES, mixed, runs, slices, span_hashes, windows
 
-BITS = 18
+BITS = 20
+WORD_RUNS = (2, 3)
 SAMPLE = 4000  # labelled rows that the classifier is fitted on, at most
 
 
@@ -67,6 +69,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
             inside = row[:m] == row[n - 1 :]
             found.append(mixed(gram + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15))[inside])
             rows.append(row[:m][inside])
+    for n in WORD_RUNS:
+        m = max(0, len(word) - n + 1)
+        inside = row[:m] == row[len(row) - m :]
+        found.append(windows(word, n)[inside])
+        rows.append(row[:m][inside])
     index = (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
     both = (np.concatenate(rows) << BITS) | index
     both.sort()
@@ -77,6 +84,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [index[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _margin(weight: np.ndarray, bias: float, found: np.ndarray) -> float:
+    """Like the rows that a model is fitted on, a text is scaled by the indicators that the model knows."""
+    w = weight[found]
+    return float(w.sum()) / math.sqrt(np.count_nonzero(w) + 1) + bias
+
+
 @dataclass
 class Model:
     weight: np.ndarray
@@ -87,8 +100,7 @@ class Model:
     def scores(self, found: list[np.ndarray]) -> list[float]:
         out = []
         for f in found:
-            margin = float(self.weight[f].sum()) / math.sqrt(len(f) + 1) + self.bias
-            z = self.slope * (margin - self.middle)
+            z = self.slope * (_margin(self.weight, self.bias, f) - self.middle)
             out.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
         return out
 
@@ -136,7 +148,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
         part[:] = False
     weight, bias = _descend([r for r, x in zip(rows, part, strict=True) if not x], y[~part], ratio, cost[~part])
     probe = part if part.any() else ~part
-    margin = np.array([float(weight[r].sum()) / math.sqrt(len(r) + 1) + bias for r, x in zip(rows, probe, strict=True) if x])
+    margin = np.array([_margin(weight, bias, r) for r, x in zip(rows, probe, strict=True) if x])
     # the middle is the best cut, in the middle of its gap; 0.7 on the score's scale
     order = np.argsort(margin)
     m, g = margin[order], good[probe][order]
