@@ -108,15 +108,15 @@ class Model:
 def _descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, epochs: int = 12) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the squared hinge loss; rows are scaled to unit order by the root of their size."""
     weight, bias = np.zeros(len(ratio)), 0.0
-    values = [ratio[r] / math.sqrt(len(r) + 1) for r in rows]
     diagonal = 0.5 / cost
-    square = np.array([float(v @ v) + 1.0 for v in values]) + diagonal
+    square = np.array([float(ratio[r] @ ratio[r]) / (len(r) + 1) + 1.0 for r in rows]) + diagonal
     alpha = np.zeros(len(rows))
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = ratio[r] / math.sqrt(len(r) + 1)
             gradient = y[i] * (float(weight[r] @ v) + bias) - 1 + diagonal[i] * alpha[i]
             new = max(0.0, alpha[i] - gradient / square[i])
             step = (new - alpha[i]) * y[i]
@@ -194,8 +194,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
     once = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
     order = np.argsort(mixed(ids[once].astype(np.int64).view(np.uint64)), kind="stable")
     packed = found["found"].to_pylist()
-    features_of = [np.frombuffer(packed[once[i]], np.int32).astype(np.int64) for i in order]
-    return fit(features_of, np.asarray(found["quality"])[once][order])
+    label = np.asarray(found["quality"])[once][order]
+    del found
+    return fit([np.frombuffer(packed[once[i]], np.int32) for i in order], label)
 
 
 def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
