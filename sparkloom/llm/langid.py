@@ -141,13 +141,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_langid(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from text and lang of at most `sample` documents of each language: those with the lowest hash of doc_id that aren't held out.
 
-    Every task only passes on its own first rows of a language, so no task
-    meets all ids of a common one. Smoothing counts follow each language's
+    A language's count says which hashes are low enough to be among the first
+    (twice as many ids as asked for are expected there), so no task meets all
+    ids of a common language. Smoothing counts follow each language's
     total, so that a word that no sample of a language holds speaks for no
     language, however few its documents are.
     """
     ids = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out())
     ids = ids.select("doc_id", "lang").distinct()
+    share = F.broadcast(ids.groupBy("lang").agg((F.lit(2.0 * sample) / F.count("*")).alias("_share")))
+    ids = ids.join(share, "lang").where(F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= F.col("_share")).drop("_share")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = ids.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).drop("_rank")
     rows = docs.join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang")
