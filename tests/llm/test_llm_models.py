@@ -129,8 +129,6 @@ def indicators(text):
     found = (text or "").encode().split()  # bytes split at ASCII white space
     low, shapes = [w.lower() for w in found], [shape(w) for w in found]
     out = {("word", w) for w in low}
-    for n in quality.WORD_RUNS:
-        out |= {("words", *low[i : i + n]) for i in range(len(low) - n + 1)}
     for n in range(1, 5):
         out |= {("shapes", *shapes[i : i + n], *(low[i + k] == low[i + k + 1] for k in range(n - 1))) for i in range(len(low) - n + 1)}
     return out
