@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 from ._text import Eights, equal_spans, span_hashes
 
 SPANS, BYTES = 500_000, 8 << 20
+GATHERED = 1 << 18
 
 
 class Pool:
@@ -20,15 +22,18 @@ class Pool:
 
     def _clear(self) -> None:
         self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # in order of the hash
-        self.text, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # bytes of all slots, where each ends
+        self.ends = np.zeros(1, np.int64)  # of all slots' bytes, side by side in text
         self.flat, self.stops = np.zeros(0, np.int32), np.zeros(1, np.int64)  # the same for ids
-        self.eights = Eights(self.text)
+        self.eights = Eights(np.zeros(0, np.uint8))
+
+    @property
+    def text(self) -> np.ndarray:
+        return self.eights.data[: self.ends[-1]]
 
     def _add(self, hashes: np.ndarray, spans: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
         """Hashes are in order and none is known."""
         n = len(self.slot)
-        self.text = np.concatenate((self.text, np.frombuffer(b"".join(spans), np.uint8)))
-        self.eights = Eights(self.text)
+        self.eights = Eights(np.concatenate((self.text, np.frombuffer(b"".join([*spans, bytes(8)]), np.uint8))), padded=True)
         self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(s) for s in spans])))
         self.flat = np.concatenate((self.flat, flat))
         self.stops = np.concatenate((self.stops, self.stops[-1] + np.cumsum(sizes)))
@@ -90,8 +95,39 @@ class Pool:
         return mark & equal_spans(eights, at, size, self.eights, begin, length - 1)
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, back, spans, borders): the first of each distinct span, which of these each span is, and they themselves side by side.
+
+    Spans are in order, not empty, and known by their bytes.
+    """
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none, data[:0], np.zeros(1, np.int64)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    joined = data if inside.all() else data[inside]
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum((ends - starts) * data.itemsize, out=offsets[1:])
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(joined).view(np.uint8))]
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+    back = np.asarray(found.indices)
+    seen = np.maximum.accumulate(back)  # numbers are given in order of the first occurrence
+    first = np.flatnonzero(np.diff(seen, prepend=-1))
+    _, borders, spans = found.dictionary.buffers()
+    borders = np.frombuffer(borders, np.int64)[: len(first) + 1] // data.itemsize
+    return first, back, np.frombuffer(spans, data.dtype, int(borders[-1])), borders
+
+
 def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs flat[first : first + size] one after the other, and their sizes."""
+    """The runs flat[first : first + size] one after the other, and their sizes; places are worked out for about GATHERED items at a time."""
     stop = np.cumsum(size)
-    at = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(first - (stop - size), size)
-    return flat[at], size
+    out = np.empty(int(stop[-1]) if len(stop) else 0, flat.dtype)
+    a = lo = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(stop, lo + GATHERED, "right")))
+        hi = int(stop[b - 1])
+        out[lo:hi] = flat[np.arange(lo, hi) + np.repeat(first[a:b] - (stop[a:b] - size[a:b]), size[a:b])]
+        a, lo = b, hi
+    return out, size

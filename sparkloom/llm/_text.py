@@ -30,8 +30,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, offsets, bytes) with about SLICE_BYTES of UTF-8 each; null texts are empty."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, offsets, bytes) with about `most` bytes of UTF-8 each; null texts are empty."""
     array = batch.column(column)
     if array.null_count:
         array = array.fill_null("")
@@ -42,7 +42,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
     data = np.frombuffer(array.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(array):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         to = min(to, len(array))
         yield batch.slice(at, to - at), offsets[at : to + 1] - offsets[at], data[offsets[at] : offsets[to]]
         at = to

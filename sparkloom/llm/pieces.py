@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._pool import Pool, gather
+from ._pool import Pool, distinct, gather
 from ._shared import mapped, shipped
 from ._text import lists, slices
 
 MARK = 0x2581  # stands for a space
 LITERAL = 0x110000  # stands for a mark that the text itself holds; it is spelt in bytes
+SLICE = 1 << 19  # bytes of text encoded at a time; a worker's peak follows it
 _SHIFT = np.int64(21)
 
 
@@ -96,7 +97,7 @@ class Model:
     byte_ids: np.ndarray
     unknown: float
     surfaces: list[bytes]
-    alphabet: np.ndarray  # sorted code points of all pieces
+    alien: np.ndarray  # of each code point up to LITERAL: does no piece have it?
     joins: bool  # does a piece hold a mark after another code point?
     pool: Pool = field(default_factory=Pool, repr=False)
 
@@ -119,9 +120,10 @@ class Model:
                 pieces[text] = i
                 surfaces.append(text.replace("▁", " ").encode())
         normal = [scores[i] for i in pieces.values()]
-        alphabet = np.array(sorted({ord(c) for t in pieces for c in t}), np.int64)
+        alien = np.ones(LITERAL + 1, bool)
+        alien[[ord(c) for t in pieces for c in t]] = False
         joins = any("▁" in t.lstrip("▁") for t in pieces)
-        return Model(Automaton.build(pieces), scores, byte_ids, min(normal, default=0.0) - 10.0, surfaces, alphabet, joins)
+        return Model(Automaton.build(pieces), scores, byte_ids, min(normal, default=0.0) - 10.0, surfaces, alien, joins)
 
     def viterbi(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each unit points[start:end], side by side, and how many each has."""
@@ -130,7 +132,7 @@ class Model:
         at = 0
         while at < len(order):
             longest = int(ends[order[at]] - starts[order[at]])
-            some = order[at : at + max(1, min(20_000, 1_000_000 // max(1, longest)))]
+            some = order[at : at + max(1, min(8_000, 400_000 // max(1, longest)))]
             at += len(some)
             for i, ids in zip(some.tolist(), self._together(points, starts[some], ends[some] - starts[some]), strict=True):
                 out[i] = ids
@@ -195,10 +197,10 @@ class Model:
                 out += self.byte_ids[list(chr(MARK if c == LITERAL else c).encode())].tolist()
         return np.array(out, np.int32)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids side by side, and how many each text has; an empty text has none."""
+    def _units(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(which distinct unit each is, these units' code points, their borders, units before each text)."""
         texts = [f" {t}" if t else "" for t in texts]
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32).copy()
         points[points == MARK] = LITERAL
         points[points == 32] = MARK
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
@@ -207,15 +209,22 @@ class Model:
         if not self.joins:
             mark = points == MARK
             opens[1:] |= mark[1:] & ~mark[:-1]
-        at = np.minimum(np.searchsorted(self.alphabet, points), max(0, len(self.alphabet) - 1))
-        alien = self.alphabet[at] != points if len(self.alphabet) else np.ones(len(points), bool)
+        alien = self.alien[points]
         opens |= alien
         opens[1:] |= alien[:-1]
         starts = np.flatnonzero(opens)
         ends = np.append(starts[1:], len(points))[: len(starts)]
-        ids, sizes = self.pool.ids(points.astype(np.uint32), starts, ends, lambda which: self.viterbi(points, starts[which], ends[which]))
+        _, back, units, borders = distinct(points, starts, ends)
+        return back, units, borders, np.searchsorted(starts, offsets)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids side by side, and how many each text has; an empty text has none."""
+        back, units, borders, before = self._units(texts)
+        starts, ends = borders[:-1], borders[1:]
+        ids, sizes = self.pool.ids(units, starts, ends, lambda which: self.viterbi(units, starts[which], ends[which]))
+        ids, sizes = gather(ids, (np.cumsum(sizes) - sizes)[back], sizes[back])
         total = np.concatenate(([0], np.cumsum(sizes)))
-        return ids, np.diff(total[np.searchsorted(starts, offsets)])
+        return ids, np.diff(total[before])
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """Each text's bytes: surfaces joined, the space that encoding put in front taken off."""
@@ -248,7 +257,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            for rows, offsets, data in slices(batch, "text"):
+            for rows, offsets, data in slices(batch, "text", SLICE):
                 ids, sizes = m.encode([t or "" for t in rows.column("text").to_pylist()])
                 raw, cuts = data.tobytes(), offsets.tolist()
                 exact = [t == raw[a:b] for t, a, b in zip(m.decode(ids, sizes), cuts[:-1], cuts[1:], strict=True)]
@@ -288,7 +297,7 @@ def piece_digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            for rows, offsets, data in slices(batch, "text"):
+            for rows, offsets, data in slices(batch, "text", SLICE):
                 ids, sizes = m.encode([t or "" for t in rows.column("text").to_pylist()])
                 flat, ends = ids.astype("<u4"), np.cumsum(sizes)
                 texts, raw, cuts = m.decode(ids, sizes), data.tobytes(), offsets.tolist()

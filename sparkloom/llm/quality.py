@@ -23,6 +23,7 @@ from ._text import ASCII_LOWER, SPACES, mixed, runs, slices, span_hashes
 
 BITS = 18
 SAMPLE = 4000  # labelled rows that the classifier is fitted on, at most
+SLICE = 1 << 19  # bytes of text looked at together; a worker's peak follows it
 
 
 def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -153,7 +154,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 
 def _indicators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, offsets, data in slices(batch, "text"):
+        for rows, offsets, data in slices(batch, "text", SLICE):
             packed = [f.astype(np.int32).tobytes() for f in features(data, offsets)]
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("quality"), pa.array(packed, pa.binary())], ["doc_id", "quality", "found"]
@@ -193,7 +194,7 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, offsets, data in slices(batch, "text"):
+            for rows, offsets, data in slices(batch, "text", SLICE):
                 score = shared.value.scores(features(data, offsets))
                 rows = rows.append_column("score", pa.array(score, pa.float64()))
                 yield rows.append_column("predicted", pa.array([int(s >= 0.7) for s in score], pa.int32()))
