@@ -15,6 +15,7 @@ document; u32 pairs of the rules; u32 expansion lengths; the symbols.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,9 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._pool import Pool, gather
+from ._pool import Pool, distinct, gather
 from ._shared import mapped, shipped, written
-from ._text import SPACES, runs, slices
+from ._text import ASCII_LOWER, SPACES, runs, slices
 
 MAGIC = b"RPG1"
 SHARD_IDS = 1 << 20
@@ -48,7 +49,8 @@ class Encoder:
     into its pre-tokens (runs of letters, single digits, runs of other signs),
     many of which go into one call: each ends with its only id that carries the
     end-of-word mark. A piece with an apostrophe, other code points or what may
-    be a special token is a unit as a whole.
+    be a special token is a unit as a whole. Where the tokenizer lower-cases,
+    pre-tokens that only differ in case are one unit.
     """
 
     def __init__(self, path: str):
@@ -59,6 +61,7 @@ class Encoder:
         self.size = max(vocabulary.values()) + 1
         self.closes = np.zeros(self.size, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
         self.pool = Pool()
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +86,10 @@ class Encoder:
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a slice's texts, side by side, and how many each text has."""
         starts, ends, odd, per_row = units(data, offsets)
-        raw = data.tobytes()
+        if self.lowers:
+            data = _lowered(data, starts[odd], ends[odd])
+        first, back, data, borders = distinct(data, starts, ends)
+        starts, ends, odd, raw = borders[:-1], borders[1:], odd[first], data.tobytes()
 
         def make(which):
             which = np.asarray(which)
@@ -102,11 +108,22 @@ class Encoder:
 
         # an odd piece isn't taken for a pre-token of the same bytes
         ids, sizes = self.pool.ids(data, starts, ends, make, odd)
+        ids, sizes = gather(ids, (np.cumsum(sizes) - sizes)[back], sizes[back])
         total = np.concatenate(([0], np.cumsum(sizes)))
         cuts = total[np.concatenate(([0], np.cumsum(per_row)))]
         return ids, np.diff(cuts)
 
 
+def _lowered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """data with its ASCII and Latin-1 letters in lower case, but for the given spans, which alone hold other characters."""
+    low = ASCII_LOWER[data]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    low[after[(data[after] >= 0x80) & (data[after] <= 0x9E)]] += 0x20
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        low[s:e] = data[s:e]
+    return low
+
+
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and oddness of a slice's units, and units per row."""
     n = len(data)
@@ -119,19 +136,22 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after = np.zeros(n, bool)
     after[1:] = data[:-1] == 0xC3
     odd = (data == 0x27) | (data == 0x3C) | ((data >= 0x80) & (data != 0xC3) & ~after) | (after & ((data == 0x97) | (data == 0xB7)))
-    total = np.zeros(n + 1, np.int64)
-    np.cumsum(odd, out=total[1:])
-    whole = total[ends] > total[starts]
+    odd = np.flatnonzero(odd)
+    whole = np.searchsorted(odd, ends) > np.searchsorted(odd, starts) if len(odd) else np.zeros(len(starts), bool)
     kind = _KINDS[data]
     opens = np.zeros(n, bool)
     opens[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
-    inside = np.zeros(n + 1, np.int8)  # of an odd piece
-    inside[starts[whole]] += 1
-    inside[ends[whole]] -= 1
-    opens &= ~space & (np.cumsum(inside[:-1], dtype=np.int8) == 0)
+    opens &= ~space
+    if whole.any():
+        inside = np.zeros(n + 1, np.int8)  # of an odd piece
+        inside[starts[whole]] += 1
+        inside[ends[whole]] -= 1
+        opens &= np.cumsum(inside[:-1], dtype=np.int8) == 0
     opens[starts] = True
     first = np.flatnonzero(opens)
-    piece = np.searchsorted(starts, first, "right") - 1
+    begins = np.zeros(n, bool)
+    begins[starts] = True
+    piece = np.cumsum(begins[first]) - 1
     stop = ends[piece]
     stop[:-1] = np.minimum(stop[:-1], first[1:])
     return first, stop, whole[piece], np.diff(np.searchsorted(first, offsets))

@@ -5,9 +5,28 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from sparkloom.llm import _pool, pieces, quality
+from sparkloom.llm import _pool, pieces, quality, repair
 from sparkloom.llm.queries import tokenizer
 
+CASES = ["Word word WORD wOrd", "École école ÉCOLE Straße STRASSE ÿ Ÿ þ Þ × ÷", "<|startoftext|> <|STARTOFTEXT|> Don't DON'T İI J̌ ǰ ΣΑΣ", "Aé1Bé Á Á", "", "7 Seven"]
+
+
+def test_op7_units_of_other_case_are_encoded_once(monkeypatch):
+    code = repair.Encoder(tokenizer("word_bpe_49k.json"))
+    assert code.lowers
+    data = np.frombuffer("".join(CASES).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in CASES)])
+    ids, sizes = code.rows(data, offsets)
+    cuts = np.concatenate(([0], np.cumsum(sizes)))
+    for k, t in enumerate(CASES):
+        assert ids[cuts[k] : cuts[k + 1]].tolist() == code.tokenizer.encode(t, add_special_tokens=False).ids, t
+    asked = []
+    together = code._together
+    monkeypatch.setattr(code, "_together", lambda texts: (asked.extend(texts), together(texts))[1])
+    code.pool = _pool.Pool()
+    code.rows(data[:19], np.array([0, 19]))
+    assert asked == ["word"]
+
 
 def test_distinct_spans():
     for kind in (np.uint8, np.uint32):
