@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..sources.workers import scratch, shipped
 
-__all__ = ["dropped", "mapped", "shared_dir", "shipped", "trimmed", "written"]
+__all__ = ["dropped", "mapped", "settled", "shared_dir", "shipped", "trimmed", "written"]
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir, a folder that all machines share."""
@@ -51,6 +53,19 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(task, schema)
 
 
+def settled(spark: SparkSession) -> None:
+    """Between jobs: the driver gives freed memory back, and Spark's cleaner frees shuffles and broadcasts that nothing refers to."""
+    gc.collect()
+    jvm = spark._jvm
+    jvm.System.gc()
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    try:
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(commands, "systemTrimNativeHeap", None, None)
+    except Py4JError:  # a JVM without that command
+        pass
+    trimmed()
+
+
 def trimmed() -> None:
     """Give memory that this process has freed back to the system, where its C library can."""
     pa.default_memory_pool().release_unused()

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import dropped, mapped, shipped, trimmed, written
+from ._shared import dropped, mapped, settled, shipped, written
 from ._text import lists, mixed, shingle_sets, slices
 from .graph import connected_components
 
@@ -606,7 +606,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     pages = keys.repartition("key").sortWithinPartitions("key", "node")
     pages = written(mapped(pages, _pages(num, den), "key long, node long, n int, rest int, pivot long, large boolean"), "pages")
     hot.destroy()
-    trimmed()
+    settled(spark)
 
     known = pages.select("node").distinct().join(nodes.select("node", "first"), "node")
     points = scan.where("b > 0").select(F.col("a").alias("first"), "node", F.col("b").alias("n"), "point")
@@ -619,7 +619,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
         sets = sets.join(some.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"])
         sets = written(sets.dropDuplicates(["node"]).select("node", "shingles"), "sets")
         bloom.destroy()
-        trimmed()
+        settled(spark)
         return sets
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -637,6 +637,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
         name = known.select("node", F.struct("first", "node").alias("name"))
         edges = links.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         found = connected_components(edges)
+        settled(spark)
         found = found.union(found.select("component", "component").distinct())
         return found.select(F.col("node.node").alias("node"), F.col("component.node").alias("label"), F.col("component.first").alias("component_id"))
 

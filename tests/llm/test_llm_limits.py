@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from sparkloom.llm import _pool, pieces, quality, repair
+from sparkloom.llm import _pool, _shared, pieces, quality, repair
 from sparkloom.llm.queries import tokenizer
 
 CASES = ["Word word WORD wOrd", "École école ÉCOLE Straße STRASSE ÿ Ÿ þ Þ × ÷", "<|startoftext|> <|STARTOFTEXT|> Don't DON'T İI J̌ ǰ ΣΑΣ", "Aé1Bé Á Á", "", "7 Seven"]
@@ -70,3 +70,12 @@ def test_op9_memory_of_a_long_text():
 @pytest.mark.parametrize("module", [pieces, quality])
 def test_small_slices(module):
     assert module.SLICE <= 1 << 19
+
+
+def test_settled_collects_the_drivers_garbage(spark):
+    def collections():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+
+    before = collections()
+    _shared.settled(spark)
+    assert collections() > before
