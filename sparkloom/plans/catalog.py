@@ -529,6 +529,16 @@ for _name, _text in _SQL.items():
     _sql_query(_name, _text)
 
 
+@query(_SQL["sql_cte_correlated"])
+def sql_cte_correlated(spark, d):
+    """In place of the text: Spark's plan of it compares every distinct top with every order, here each order meets the top of its own customer only."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_totalprice")
+    t = orders.groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("top"))
+    near = F.count_if(F.col("o_totalprice") > F.col("top") / 2).alias("near_top")
+    counted = orders.join(t, F.col("o_custkey") == F.col("k")).groupBy("k").agg(F.max("top").alias("top"), near)
+    return table(spark, d, "customer").join(counted, F.col("c_custkey") == F.col("k")).select("c_custkey", "top", "near_top")
+
+
 @query("""SELECT e.event_id, o.o_orderkey FROM events e ASOF LEFT JOIN orders o ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate""".replace(
     "o.o_orderkey FROM", "o.o_orderdate AS at FROM"))
 def sql_as_of(spark, d):
